@@ -89,7 +89,7 @@ def _sets(docs: DataFrame, n: int, heavy, num: int, den: int) -> DataFrame:
     return map_rows(docs, run, "doc_id long, n long, f1 long, f2 long, prefix array<long>, bits binary")
 
 
-def frequent_shingles(docs: DataFrame, n: int = 5, share: float = 0.001, at_least: int = 20) -> np.ndarray:
+def frequent_shingles(docs: DataFrame, n: int = 5, share: float = 0.0002, at_least: int = 20) -> np.ndarray:
     """Sorted hashes of shingles that lossy counting over all documents finds in about share of them or more.
 
     There are at most (mean shingles a document) / share of them, whatever the number of documents.
@@ -223,7 +223,7 @@ def _tile_links(table: pa.Table, num: int, den: int) -> pa.Table:
     return pa.table({"a": pa.array([*ids[some].tolist(), *(e[0] for e in edges)], pa.int64()), "b": pa.array([*[None] * len(some), *(e[1] for e in edges)], pa.int64()), "links": pa.array([*links[some].tolist(), *[0] * len(edges)], pa.int64())})
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: tuple[int, int] = (80, 100), block: int = 256, frequent_share: float = 0.001) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: tuple[int, int] = (80, 100), block: int = 256, frequent_share: float = 0.0002) -> DataFrame:
     """Links documents whose shingle sets have a Jaccard similarity of at least similarity = (num, den).
 
     Returns (doc_id, n_shingles, component_id, n_links): n_links counts the other documents linked directly.
