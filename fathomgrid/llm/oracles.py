@@ -78,9 +78,9 @@ parts as (select doc_id, kind, stop - len(m) as a, stop as b from ({" union all
 weak as (
     select w.doc_id, w.kind, w.a, w.b,
         bool_or(case when w.kind = 'key' then n.kind in ('access', 'endpoint') else n.kind in ('access', 'assign') end and not (n.kind in ('assign', 'access', 'hex') and n.a < w.b and w.a < n.b)) as linked,
-        bool_or(w.kind = 'key' and n.kind in ('assign', 'access', 'hex') and n.a < w.b and w.a < n.b) as overlaps
+        bool_or(w.kind = 'key' and n.kind in ('assign', 'access', 'hex') and n.a < w.b and w.a < n.b) as covered
     from parts w join parts n on w.doc_id = n.doc_id and n.a - w.b <= 200 and w.a - n.b <= 200 where w.kind in ('key', 'endpoint') group by all),
-spans as (select doc_id, kind, a, b from parts where kind in ('assign', 'access', 'hex') union all select doc_id, kind, a, b from weak where linked and not overlaps),
+spans as (select doc_id, kind, a, b from parts where kind in ('assign', 'access', 'hex') union all select doc_id, kind, a, b from weak where linked and not covered),
 digest as (
     select doc_id, count_if(kind = 'assign') as n_assign, count_if(kind = 'access') as n_access, count_if(kind = 'hex') as n_hex,
         string_agg(kind || ':' || a || ':' || b, ',' order by a, {_RANK}, b) filter (where kind in ('assign', 'access', 'hex')) as base,
