@@ -1,0 +1,30 @@
+"""Tables in the folder that driver and executors share."""
+
+from __future__ import annotations
+
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_own: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or a folder of our own where it is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="fathomgrid-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return _own[0]
+
+
+def shared_table(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: no lineage, and nothing is lost with an executor."""
+    path = f"{shared_dir(df.sparkSession)}/fathomgrid-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

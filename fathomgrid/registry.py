@@ -1,9 +1,13 @@
 """Registered queries and their SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from .plans.queries import ORACLES, QUERIES
 
 
-def oracle_sql():
-    return {}
+def queries() -> dict:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)

@@ -1,0 +1 @@
+"""No streaming operators: outlier factors are non-local, and all inputs are finished tables."""
