@@ -83,7 +83,8 @@ def _sets(docs: DataFrame, n: int, heavy, num: int, den: int) -> DataFrame:
                 at[at == len(last)] = 0
                 late = last[at] == s
             prefix.append(np.concatenate([s[~late], s[late]])[: required_prefix(len(s), num, den)].view(np.int64))
-            bits.append(parity_bitmap(s, bitmap_bits(len(s))).tobytes())
+            # Over half a bit per shingle is enough to tell unrelated sets, and halves what the lists carry.
+            bits.append(parity_bitmap(s, bitmap_bits(len(s) * 5 // 8 + 1)).tobytes())
         return {"doc_id": batch.column(0), "n": pa.array(size, pa.int64()), "f1": pa.array(f1, pa.int64()), "f2": pa.array(f2, pa.int64()), "prefix": pa.array(prefix, pa.list_(pa.int64())), "bits": pa.array(bits, pa.binary())}
 
     return map_rows(docs, run, "doc_id long, n long, f1 long, f2 long, prefix array<long>, bits binary")
@@ -236,9 +237,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     filled = sets.where("n > 0")
     classes = shared_table(filled.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")).where("class_id is not null"))
 
-    postings = classes.select("class_id", F.explode("prefix").alias("key"))
+    # Of a key's list by size, a class stays if its neighbour in size can reach the similarity at all.
+    postings = classes.select("class_id", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("key"))
     postings.createOrReplaceTempView("fathomgrid_postings")
-    several = spark.sql("select key, class_id from (select key, class_id, count(*) over (partition by key) c from fathomgrid_postings) where c > 1")
+    several = spark.sql(f"select key, class_id from (select key, class_id, n, lag(n) over (partition by key order by n) as less, lead(n) over (partition by key order by n) as more from fathomgrid_postings) where less * {den}L >= n * {num}L or n * {den}L >= more * {num}L")
     spark.catalog.dropTempView("fathomgrid_postings")
     lists = several.join(classes.select("class_id", "n", "bits"), "class_id").select("key", "class_id", "n", "bits")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
