@@ -9,7 +9,7 @@ Plan
  3. Classes that share such a shingle are compared by bitmap: a parity bitmap as wide as the size band needs gives
     |A xor B| >= popcount, hence overlap <= (|A| + |B| - popcount) / 2. Survivors of one list are joined by at most
     one edge per member, and the connected components of these edges hold all links.
- 4. Each component is ordered by size and cut into blocks; a tile is a pair of blocks whose sizes are compatible.
+ 4. Each component is cut into blocks by size, from its counts by size; a tile is a pair of blocks whose sizes are compatible.
     In a tile the bitmap bound runs over the block pairs and what passes is intersected exactly. A tile returns
     link counts and at most one edge per row, never its pairs.
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import shingle_set, word_hashes
@@ -224,6 +224,17 @@ def _tile_links(table: pa.Table, num: int, den: int) -> pa.Table:
     return pa.table({"a": pa.array([*ids[some].tolist(), *(e[0] for e in edges)], pa.int64()), "b": pa.array([*[None] * len(some), *(e[1] for e in edges)], pa.int64()), "links": pa.array([*links[some].tolist(), *[0] * len(edges)], pa.int64())})
 
 
+def _blocks(members: DataFrame, block: int) -> DataFrame:
+    """members with a block number that never falls as n rises within a component; a block has about block rows.
+
+    Only the counts by size are put in order, never the members: rows of one size beyond a block are dealt by hash.
+    """
+    start = F.coalesce(F.sum("c").over(Window.partitionBy("component").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = members.groupBy("component", "n").agg(F.count("*").alias("c")).select("component", "n", "c", start.alias("start"))
+    dealt = F.expr(f"start div {block} + pmod(xxhash64(class_id), (c + {block - 1}) div {block})")
+    return members.join(sizes, ["component", "n"]).select(*members.columns, dealt.cast("int").alias("block"))
+
+
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: tuple[int, int] = (80, 100), block: int = 256, frequent_share: float = 0.0002) -> DataFrame:
     """Links documents whose shingle sets have a Jaccard similarity of at least similarity = (num, den).
 
@@ -248,10 +259,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     candidates = components(lists.mapInArrow(lambda it: _list_edges(it, num, den), "a long, b long"))
 
     # The members of a candidate component by size, cut into blocks; a row goes to each tile of its block.
-    members = classes.select("class_id", "n", "copies").join(candidates.withColumnRenamed("node", "class_id"), "class_id")
-    members.createOrReplaceTempView("fathomgrid_members")
-    ranked = shared_table(spark.sql(f"select *, cast((row_number() over (partition by component order by n, class_id) - 1) div {block} as int) block from fathomgrid_members"))
-    spark.catalog.dropTempView("fathomgrid_members")
+    members = shared_table(classes.select("class_id", "n", "copies").join(candidates.withColumnRenamed("node", "class_id"), "class_id"))
+    ranked = shared_table(_blocks(members, block))
     spans = ranked.groupBy("component", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     left, right = (spans.select("component", *(F.col(c).alias(f"{c}_{s}") for c in ("block", "lo", "hi"))) for s in "xy")
     tiles = left.join(right, "component").where(f"block_x <= block_y and hi_x * {den} >= lo_y * {num}").select("component", F.col("block_x").alias("x"), F.col("block_y").alias("y"))

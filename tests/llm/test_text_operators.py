@@ -57,9 +57,8 @@ def test_shingles_equal_tuples():
     assert b"\xc3\x80Az".translate(ASCII_LOWER) == b"\xc3\x80az"
 
 
-@pytest.mark.parametrize("block", [256, 3])
-def test_jaccard_join(spark, block):
-    rows = texts()
+def joined(rows):
+    """Brute force: set size, component and links of every row."""
     s = sets(rows)
     links = {k: set() for k in range(len(rows))}
     for a, b in itertools.combinations(range(len(rows)), 2):
@@ -74,8 +73,32 @@ def test_jaccard_join(spark, block):
                 seen.add(j), todo.append(j)
         return min(seen)
 
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard_join.ngram_jaccard_join(docs(spark), block=block).collect()}
-    assert got == {k: (len(s[k]), low(k), len(links[k])) for k in links}
+    return {k: (len(s[k]), low(k), len(links[k])) for k in links}
+
+
+def near_group():
+    """400 near copies, most of one size, some of them further apart than the similarity, and copies of a few."""
+    g = random.Random(8)
+    base = [f"w{k}" for k in range(120)]
+    out = []
+    for k in range(400):
+        w = list(base)
+        for _ in range(g.randrange(1, 4)):
+            w[g.randrange(len(w))] = f"new{g.randrange(9)}"
+        out.append(" ".join(w[g.randrange(3) :] if k % 5 == 0 else w))
+    return out + out[:7]
+
+
+@pytest.mark.parametrize("rows,options", [(texts(), {}), (texts(), {"block": 3}), (near_group(), {"block": 16})])
+def test_jaccard_join(spark, rows, options):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard_join.ngram_jaccard_join(docs(spark, rows), **options).collect()}
+    assert got == joined(rows)
+    if "block" in options:
+        members = spark.createDataFrame([(k, 90 + k % 3 * (k > 300), k % 2) for k in range(400)], "class_id long, n long, component long")
+        blocks = jaccard_join._blocks(members, 16).collect()
+        assert len(blocks) == 400 and max(Counter((r["component"], r["block"]) for r in blocks).values()) <= 64
+        for a, b in itertools.combinations(blocks, 2):
+            assert a["component"] != b["component"] or a["n"] == b["n"] or (a["n"] < b["n"]) == (a["block"] < b["block"]) or a["block"] == b["block"]
 
 
 def test_jaccard_join_of_nothing(spark):
