@@ -8,9 +8,10 @@ Plan
     same links; only the work differs.
  3. Classes that share such a shingle are compared by bitmap: a parity bitmap as wide as the size band needs gives
     |A xor B| >= popcount, hence overlap <= (|A| + |B| - popcount) / 2. Survivors of one list are joined by at most
-    one edge per member, and the connected components of these edges hold all links.
- 4. Each component is cut into blocks by size, from its counts by size; a tile is a pair of blocks whose sizes are compatible.
-    In a tile the bitmap bound runs over the block pairs and what passes is intersected exactly. A tile returns
+    one edge per member, and the connected components of these edges hold all links. In a list of over longest_list
+    classes, neighbours by size are joined without the bitmap: that can only make a component larger.
+ 4. Each component is cut into blocks by size, from its counts by size; a tile is a pair of blocks whose sizes are
+    compatible. In a tile the bitmap bound runs over the block pairs and what passes is intersected exactly. A tile returns
     link counts and at most one edge per row, never its pairs.
 
 Results: one row per input row. A null or empty text has the empty set, is linked with nothing and is its own
@@ -125,8 +126,11 @@ def frequent_shingles(docs: DataFrame, n: int = 5, share: float = 0.0002, at_lea
 def _list_edges(it, num: int, den: int):
     """Rows sorted by key: for each key's list, edges that span the components of the bitmap bound."""
 
-    def spans(ids: list, sizes: list, maps: list) -> set:
+    def spans(ids: list, sizes: list, maps: list, full: bool) -> set:
         found = set()
+        if full:
+            order = sorted(zip(sizes, ids))
+            return {(max(i, j), min(i, j)) for (a, i), (b, j) in zip(order, order[1:]) if a * den >= b * num}
         if len(ids) <= 6:
             as_int = [(int.from_bytes(m, "little"), len(m) * 8) for m in maps]
             for i in range(len(ids)):
@@ -169,19 +173,20 @@ def _list_edges(it, num: int, den: int):
                         found.update((max(int(ids[k]), int(ids[j])), min(int(ids[k]), int(ids[j]))) for j in who)
         return found
 
-    key, ids, sizes, maps, out = None, [], [], [], set()
+    key, ids, sizes, maps, full, out = None, [], [], [], False, set()
     for batch in it:
-        for k, i, s, m in zip(*(batch.column(c).to_pylist() for c in range(4))):
+        for k, i, s, m, last in zip(*(batch.column(c).to_pylist() for c in range(5))):
             if k != key:
                 if len(ids) > 1:
-                    out |= spans(ids, sizes, maps)
-                key, ids, sizes, maps = k, [], [], []
+                    out |= spans(ids, sizes, maps, full)
+                key, ids, sizes, maps, full = k, [], [], [], False
                 if len(out) > 50_000:
                     yield pa.RecordBatch.from_pydict({"a": [x[0] for x in out], "b": [x[1] for x in out]})
                     out = set()
             ids.append(i), sizes.append(s), maps.append(m)
+            full |= last
     if len(ids) > 1:
-        out |= spans(ids, sizes, maps)
+        out |= spans(ids, sizes, maps, full)
     if out:
         yield pa.RecordBatch.from_pydict({"a": [x[0] for x in out], "b": [x[1] for x in out]})
 
@@ -235,7 +240,7 @@ def _blocks(members: DataFrame, block: int) -> DataFrame:
     return members.join(sizes, ["component", "n"]).select(*members.columns, dealt.cast("int").alias("block"))
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: tuple[int, int] = (80, 100), block: int = 256, frequent_share: float = 0.0002) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: tuple[int, int] = (80, 100), block: int = 256, frequent_share: float = 0.0002, longest_list: int = 4096) -> DataFrame:
     """Links documents whose shingle sets have a Jaccard similarity of at least similarity = (num, den).
 
     Returns (doc_id, n_shingles, component_id, n_links): n_links counts the other documents linked directly.
@@ -251,12 +256,16 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Of a key's list by size, a class stays if its neighbour in size can reach the similarity at all.
     postings = classes.select("class_id", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("key"))
     postings.createOrReplaceTempView("fathomgrid_postings")
-    several = spark.sql(f"select key, class_id from (select key, class_id, n, lag(n) over (partition by key order by n) as less, lead(n) over (partition by key order by n) as more from fathomgrid_postings) where less * {den}L >= n * {num}L or n * {den}L >= more * {num}L")
+    near = spark.sql("select key, class_id, n, row_number() over w as place, lag(class_id) over w as before, lag(n) over w as less, lead(n) over w as more from fathomgrid_postings window w as (partition by key order by n, class_id)")
     spark.catalog.dropTempView("fathomgrid_postings")
-    lists = several.join(classes.select("class_id", "n", "bits"), "class_id").select("key", "class_id", "n", "bits")
+    near = near.withColumn("follows", F.expr(f"coalesce(less * {den}L >= n * {num}L, false)"))
+    several = shared_table(near.where(f"follows or n * {den}L >= more * {num}L").select("key", "class_id", "place", F.when(F.col("follows"), F.col("before")).alias("before")))
+    beyond = several.where(f"place > {longest_list} and before is not null").select(F.col("class_id").alias("a"), F.col("before").alias("b"))
+    lists = several.where(f"place <= {longest_list}").select("key", "class_id", F.expr(f"place = {longest_list}").alias("last"))
+    lists = lists.join(classes.select("class_id", "n", "bits"), "class_id").select("key", "class_id", "n", "bits", "last")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lists = lists.repartition(width, "key").sortWithinPartitions("key")
-    candidates = components(lists.mapInArrow(lambda it: _list_edges(it, num, den), "a long, b long"))
+    candidates = components(lists.mapInArrow(lambda it: _list_edges(it, num, den), "a long, b long").union(beyond))
 
     # The members of a candidate component by size, cut into blocks; a row goes to each tile of its block.
     members = shared_table(classes.select("class_id", "n", "copies").join(candidates.withColumnRenamed("node", "class_id"), "class_id"))

@@ -89,7 +89,7 @@ def near_group():
     return out + out[:7]
 
 
-@pytest.mark.parametrize("rows,options", [(texts(), {}), (texts(), {"block": 3}), (near_group(), {"block": 16})])
+@pytest.mark.parametrize("rows,options", [(texts(), {}), (texts(), {"block": 3}), (near_group(), {"block": 16, "longest_list": 9})])
 def test_jaccard_join(spark, rows, options):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard_join.ngram_jaccard_join(docs(spark, rows), **options).collect()}
     assert got == joined(rows)
