@@ -118,7 +118,7 @@ def frequent_shingles(docs: DataFrame, n: int = 5, share: float = 0.0002, at_lea
         return {"h": np.concatenate(out).view(np.int64), "c": np.concatenate(counts).astype(np.int64)} if out else None
 
     total = docs.count()
-    rows = map_rows(docs.select("text"), run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= max(at_least, share * total)).select("h")
+    rows = map_rows(docs.select("text"), run, "h long, c long", size=None).groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= max(at_least, share * total)).select("h")
     found = rows.toArrow().column(0).to_numpy()
     return np.sort(found.astype(np.int64).view(np.uint64))
 

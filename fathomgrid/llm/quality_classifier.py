@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, raw_texts
+from .common import map_rows, pieces, raw_texts
 
 CHUNK, WIDTH, EMBED, FILTERS, HIDDEN = 256, 8, 6, 32, 16
 #: Neighbouring chunks share WIDTH - 1 bytes, so that every filter sees every position of the text.
@@ -165,9 +165,9 @@ def keep_good(docs: DataFrame, net: ByteConvNet, threshold: float = 0.3, text_co
 
     def run(it):
         for batch in it:
-            if batch.num_rows:
-                raw = raw_texts(batch.column(at))
+            for piece in pieces(batch):
+                raw = raw_texts(piece.column(at))
                 s = np.concatenate([net.score(raw[k : k + slab]) for k in range(0, len(raw), slab)])
-                yield batch.filter(pa.array(s >= threshold))
+                yield piece.filter(pa.array(s >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
