@@ -9,12 +9,13 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from fathomgrid.llm import decontaminate, html_text, jaccard_join, packing, quality_classifier, quality_rules, secret_scan, token_counts, toxicity, url_filter
 from fathomgrid.llm.bytewords import ASCII_LOWER, shingle_set, word_hashes
-from fathomgrid.llm.common import components, drop_ids
+from fathomgrid.llm.common import components, drop_ids, map_rows, pieces
 from fathomgrid.llm.queries import URL_RULES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -137,6 +138,16 @@ def test_components(spark):
     assert got == {k: root(k) for a, b in edges if a != b for k in (a, b)}
 
 
+def test_pieces_cover_the_batch(spark):
+    batch = pa.RecordBatch.from_pydict({"t": ["x" * k for k in range(500)] + [None, ""]})
+    for size in (None, 1, 1 << 14, 1 << 30):
+        got = pa.Table.from_batches(list(pieces(batch, size)))
+        assert got.column(0).to_pylist() == batch.column(0).to_pylist()
+    assert list(pieces(batch.slice(0, 0))) == []
+    rows = docs(spark).select("doc_id")
+    assert sorted(r[0] for r in map_rows(rows, lambda b: {"doc_id": b.column(0)}, "doc_id long", size=8).collect()) == list(range(len(texts())))
+
+
 def test_drop_ids(spark):
     d = docs(spark)
     assert {r[0] for r in drop_ids(d, d.where("doc_id % 3 = 0").select("doc_id")).select("doc_id").collect()} == {k for k in range(d.count()) if k % 3}
