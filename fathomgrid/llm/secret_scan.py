@@ -1,8 +1,8 @@
 """Secret scans: base patterns plus multipart credential linking by an interval join, DataFrame only.
 
 Plan
- 1. One combined pattern picks the texts that can hold a part of a credential. For each kind of part, the matches and
-    the text between them come from the same leftmost scan, so running sums of their lengths are code point offsets.
+ 1. Patterns pick the texts that can hold a base span, or both a key and an endpoint. For each kind of part, the matches
+    and the text between them come from the same leftmost scan, so running sums of their lengths are code point offsets.
  2. Base spans (assign, access, hex) are reported as they are. Weak parts are only candidates: `key` is a token of
     mixed letters and digits that looks like a secret, `endpoint` is a URL.
  3. Weak parts join base and weak parts of the same text by an equi-join on (document, block of the scope's length)
@@ -39,8 +39,9 @@ PATTERNS = {
     "key": "[A-Za-z0-9+/_-]{32,}",
     "endpoint": "[Hh][Tt][Tt][Pp][Ss]?://[A-Za-z0-9.-]+[A-Za-z0-9](?::[0-9]+)?(?:/[A-Za-z0-9._~/-]*)?",
 }
-#: A text without a match of this has no base span, so nothing at all is reported in it.
+#: A text without a match of this has no base span. Then only a key near an endpoint is reported in it.
 _MAY = f"(?:{_NAMES})[\"']?\\x20*[:=]|AKIA[A-Z0-9]{{16}}|[0-9a-f]{{24}}"
+_MAY_ENDPOINT, _MAY_KEY = "[Hh][Tt][Tt][Pp][Ss]?://[A-Za-z0-9.-]", "[A-Za-z0-9+/_-]{32}"
 
 
 def _literal(pattern: str) -> str:
@@ -61,8 +62,9 @@ def _parts(kind: str) -> str:
 
 
 def secret_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, kind, start, end) of all parts, strong and weak, in texts that have a base span."""
-    may = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike(_MAY))
+    """(doc_id, kind, start, end) of all parts, strong and weak, where there may be a base span, or a key and an endpoint."""
+    may = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    may = may.where(F.col("text").rlike(_MAY) | (F.col("text").rlike(_MAY_ENDPOINT) & F.col("text").rlike(_MAY_KEY)))
     cols = [c for k in KINDS for c in (f"regexp_extract_all(text, '{_literal(PATTERNS[k])}', 0) as {k}", f"split(text, '{_literal(PATTERNS[k])}', -1) as {k}_rest")]
     scanned = may.selectExpr("doc_id", *cols, f"regexp_extract_all(text, '{_literal(PATTERNS['assign'])}', 2) as assign_value")
     rows = scanned.select("doc_id", F.explode(F.concat(*(F.expr(_parts(k)) for k in KINDS))).alias("p")).select("doc_id", "p.*").distinct()

@@ -331,6 +331,14 @@ def test_secret_scan(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_key_and_endpoint_without_a_base_span(spark):
+    key, url = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEYab", "HTTPS://s3.example.com/bucket"
+    texts = [f"key {key} at {url}", f"key {key}", f"at {url}", f"key {key} " + "x " * 101 + url]
+    found = secret_scan.find_secrets(docs(spark, texts))
+    assert [(r["doc_id"], [tuple(s) for s in r["spans"]]) for r in found.collect()] == [(0, [(4, 4, 44, "key")])]
+    assert secret_scan.redact(docs(spark, texts), found).where("doc_id = 0").first()["text"] == f"key [SECRET] at {url}"
+
+
 def test_redaction(spark):
     d = docs(spark, SECRET_TEXTS)
     found = secret_scan.find_secrets(d)
