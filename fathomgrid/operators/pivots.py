@@ -134,21 +134,41 @@ def cover_greedily(ids: np.ndarray, v: np.ndarray, k: int, radius: float, box: b
 
     Again and again the point (of all points, the lowest id among equals) whose open ball, or closed box, of the
     radius holds the most centers that are left absorbs them; the radius grows when nothing can be merged.
+    The counts are kept up to date as centers go, so memory is in proportion to the points.
     """
     order = np.argsort(ids, kind="stable")
     v = v[order]
-    gap = np.abs(v[:, None] - v[None]).max(-1) if box else np.sqrt(((v[:, None] - v[None]) ** 2).sum(-1))
+    gap = (lambda p, to: np.abs(to - p).max(-1)) if box else (lambda p, to: np.sqrt(((to - p) ** 2).sum(-1)))
     left = np.ones(len(ids), bool)
-    radius = radius or float(gap.max()) / max(1, len(ids)) or 1.0
+    radius = radius or max(float(gap(p, v).max()) for p in v) / max(1, len(ids)) or 1.0
+    # Rows in the order of the widest coordinate: what is within the radius of a point lies in one run of them.
+    axis = int(np.argmax(np.ptp(v, 0)))
+    along = np.argsort(v[:, axis], kind="stable")
+    run, at = v[along], v[along, axis]
+
+    def near(i: int) -> np.ndarray:
+        far = radius * (1 + 1e-9)
+        low, high = np.searchsorted(at, np.nextafter(v[i, axis] - far, -np.inf), "left"), np.searchsorted(at, np.nextafter(v[i, axis] + far, np.inf), "right")
+        d = gap(v[i], run[low:high])
+        return along[low:high][d <= radius if box else d < radius]
+
+    size = None
     while left.sum() > k:
-        within = (gap <= radius if box else gap < radius) & left
-        size = within.sum(1)
+        if size is None:
+            size = np.zeros(len(ids), int)
+            for i in np.flatnonzero(left):
+                size[near(i)] += 1
         best = int(size.argmax())
         if size[best] <= 1:
-            radius *= grow
+            radius, size = radius * grow, None
             continue
-        left &= ~within[best]
-        left[best] = True
+        gone = near(best)
+        for i in gone[left[gone] & (gone != best)]:
+            left[i] = False
+            size[near(i)] -= 1
+        if not left[best]:
+            left[best] = True
+            size[near(best)] += 1
     return order[np.flatnonzero(left)]
 
 

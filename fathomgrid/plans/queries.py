@@ -256,7 +256,7 @@ def weighted_cover_step(spark, d):
 
 @query()
 def kcover_full(spark, d):
-    return V.kcover(_parts(spark, d).where("id <= 1500"), 10, 20.0, n_buckets=1).select("id")
+    return V.kcover(_parts(spark, d), 10, 20.0, n_buckets=1).select("id")
 
 
 @query()

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fathomgrid import registry
 from fathomgrid.functions import metric as M
 from fathomgrid.operators import knn as K
 from fathomgrid.operators import lof as L
@@ -118,6 +119,27 @@ def test_pivot_selection(spark):
         V.select_pivots(p, 4, 2, "nope")
 
 
+def greedy_cover(points, k, radius):
+    """Ids of the centers by counting every ball anew in every step."""
+    left = set(points)
+    while len(left) > k:
+        balls = {i: {j for j in left if math.dist(points[i], points[j]) < radius} for i in sorted(points)}
+        best = max(balls, key=lambda i: len(balls[i]))
+        if len(balls[best]) <= 1:
+            radius *= 2
+            continue
+        left = left - balls[best] | {best}
+    return left
+
+
+def test_kcover_covers_all_points(spark, tmp_path):
+    g = np.random.default_rng(11)
+    points = {i: (float(x), float(y)) for i, x, y in zip(range(1470, 1530), g.integers(1, 50, 60), g.integers(900, 1400, 60))}
+    spark.createDataFrame([(i, int(x), y) for i, (x, y) in points.items()], "p_partkey long, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r["id"] for r in registry.queries()["kcover_full"](spark, str(tmp_path)).collect()}
+    assert got == greedy_cover(points, 10, 20.0) and max(got) > 1500
+
+
 def test_spatial_against_brute_force(spark):
     g = np.random.default_rng(9)
     rows = g.uniform(-20, 20, (150, 2)).round(1)
