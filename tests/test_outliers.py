@@ -153,6 +153,16 @@ def test_spatial_against_brute_force(spark):
     assert left == {i for i in range(150) if d[i, :3].min() > 5}
 
 
+def test_cover_counts_have_every_part_as_a_center(spark, tmp_path):
+    g = np.random.default_rng(13)
+    rows = np.column_stack([g.integers(1, 51, 60), g.integers(900, 960, 60)]).astype(float)
+    spark.createDataFrame([(i, int(x), float(y)) for i, (x, y) in enumerate(rows)], "p_partkey long, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    got = {n: {r["center_id"]: r["n"] for r in registry.queries()[n](spark, str(tmp_path)).collect()} for n in ("box_cover_count", "ball_range_count")}
+    gap = np.abs(rows[:, None] - rows[None])
+    assert got["box_cover_count"] == {i: int((gap[i].max(1) <= 5).sum()) for i in range(60)}
+    assert got["ball_range_count"] == {i: int((np.sqrt((gap[i] ** 2).sum(1)) < 15).sum()) for i in range(60)}
+
+
 def test_empty_points(spark):
     p = frame(spark, []).where("id >= 0")
     assert K.all_pairs(p, 3, 2).count() == 0 and S.ball_counts(p, p, 1.0, 2).count() == 0
