@@ -89,7 +89,7 @@ def knn_l1(spark, d):
 
 @query("with prs as (select a.s_suppkey as id, b.s_suppkey as nbr_id, abs(a.s_acctbal - b.s_acctbal) as dist from supplier a join supplier b on a.s_suppkey <> b.s_suppkey) select id, nbr_id, round(dist, 6) as dist, cast(rn as integer) as rn from (select *, row_number() over (partition by id order by dist, nbr_id) as rn from prs) where rn <= 3")
 def knn_one_dimension(spark, d):
-    return _knn_out(K.all_pairs(R.from_columns(_read(spark, d, "supplier"), "s_suppkey", ["s_acctbal"]), 3, 1, "l1"))
+    return _knn_out(K.knn(R.from_columns(_read(spark, d, "supplier"), "s_suppkey", ["s_acctbal"]), 3, 1, "l1"))
 
 
 @query(f"with {_knn_sql()} {KNN_OUT}")

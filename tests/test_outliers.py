@@ -163,6 +163,19 @@ def test_cover_counts_have_every_part_as_a_center(spark, tmp_path):
     assert got["ball_range_count"] == {i: int((np.sqrt((gap[i] ** 2).sum(1)) < 15).sum()) for i in range(60)}
 
 
+def test_one_dimension_beyond_the_all_pairs_limit(spark, tmp_path):
+    g = np.random.default_rng(17)
+    balance = g.uniform(-1000, 10000, K.ALL_PAIRS_ROWS + 200).round(2)
+    spark.createDataFrame([(i, float(x)) for i, x in enumerate(balance)], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = as_dict(registry.queries()["knn_one_dimension"](spark, str(tmp_path)))
+    assert len(got) == len(balance)
+    for i, x in enumerate(balance):
+        d = np.abs(balance - x)
+        d[i] = np.inf
+        want = np.lexsort((np.arange(len(d)), d))[:3]
+        assert [n for _, n in got[i]] == want.tolist() and np.allclose([y for y, _ in got[i]], d[want], atol=1e-6)
+
+
 def test_empty_points(spark):
     p = frame(spark, []).where("id >= 0")
     assert K.all_pairs(p, 3, 2).count() == 0 and S.ball_counts(p, p, 1.0, 2).count() == 0
