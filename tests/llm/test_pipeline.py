@@ -37,6 +37,19 @@ def test_stages_act_and_keep_the_columns(spark, tmp_path):
     assert docs.select("doc_id").distinct().count() == counts[4]
 
 
+def test_stages_reach_null_and_repeated_ids(spark):
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").first()["text"]
+    copy, other = " ".join(f"word{k}" for k in range(30)), " ".join(f"term{k}" for k in range(30))
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    ids = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    docs = frame([(3, copy), (3, copy), (9, copy), (None, copy), (None, other), (None, other), (5, item)])
+    assert ids(corpus_pipeline.near_duplicates(spark, docs, DATA)) == sorted([(3, copy), (5, item), (None, other)], key=str)
+    docs = frame([(None, item), (None, other), (4, item), (4, other), (7, copy)])
+    assert ids(corpus_pipeline.benchmark(spark, docs, DATA)) == sorted([(None, other), (4, other), (7, copy)], key=str)
+    docs = frame([(None, "a password=hunter22 b"), (None, other), (6, "a token=abcdefgh"), (6, copy)])
+    assert ids(corpus_pipeline.secrets(spark, docs, DATA)) == sorted([(None, "a [SECRET] b"), (None, other), (6, "a [SECRET]"), (6, copy)], key=str)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_its_sql(spark, name):
     con = duckdb.connect()
