@@ -141,7 +141,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             failed = first_rejection(t, order)
             out["failed_rule"].append(failed)
             out["kept"].append(failed is None)
-            out["base_failed"].append(failed in base or (with_counts and any(r.rejects(t) for r in BASE_RULES)))
+            out["base_failed"].append(failed in base or any(r.rejects(t) for r in BASE_RULES))
         types = {"kept": pa.bool_(), "failed_rule": pa.string(), "base_failed": pa.bool_()}
         return {"doc_id": batch.column(0)} | {k: pa.array(v, types.get(k, pa.int64())) for k, v in out.items()}
 

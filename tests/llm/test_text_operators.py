@@ -227,6 +227,12 @@ def test_quality_rules(spark):
         assert got[k]["base_failed"] == failed and (not failed or not got[k]["kept"])
 
 
+def test_base_failed_does_not_depend_on_the_order(spark):
+    always = quality_rules.Rule("always", lambda t: True)
+    out = quality_rules.quality_rules(docs(spark, ["two words"] * 5), rules=(*quality_rules.BASE_RULES, always), with_counts=False)
+    assert {(r["failed_rule"], r["base_failed"]) for r in out.collect()} == {("always", True)}
+
+
 def test_cascade_order_prefers_cheap_rejection():
     slow = quality_rules.Rule("slow", lambda t: sum(range(20_000)) < 0)
     quick = quality_rules.Rule("quick", lambda t: t.n_words < 3)
