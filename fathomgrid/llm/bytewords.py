@@ -18,13 +18,15 @@ ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BLANKS = np.zeros(256, dtype=bool)
 BLANKS[[32, *range(9, 14)]] = True
 
+#: Bytes that are hashed at once: a worker's arrays stay at a few MB however long the texts are.
+BLOCK = 1 << 18
 _pow_cache: dict[str, np.ndarray] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse modulo 2**64, grown by doubling."""
+    """The first n powers of the base and of its inverse modulo 2**64, grown by doubling; n is at most BLOCK + 1."""
     if len(_pow_cache.get("f", ())) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
+        size = min(BLOCK + 1, 1 << max(16, int(n - 1).bit_length()))
         for key, b in (("f", _BASE), ("i", _BASE_INV)):
             p = np.ones(size, dtype=_U)
             p[1:] = b
@@ -50,14 +52,39 @@ def word_spans(buf: np.ndarray, blanks: np.ndarray = BLANKS) -> tuple[np.ndarray
     return np.flatnonzero(d == 1), np.flatnonzero(d == -1)
 
 
-def hash_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, from prefix sums of a polynomial in an odd base."""
+def _sums(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The polynomial of each span's bytes in an odd base, for spans in a buffer of at most BLOCK bytes."""
     fwd, inv = _powers(len(buf) + 1)
+    pre = np.empty(len(buf) + 1, dtype=_U)
+    pre[0] = 0
+    np.cumsum((buf.astype(_U) + _U(1)) * fwd[: len(buf)], out=pre[1:])
+    return (pre[end] - pre[start]) * inv[start]
+
+
+def _long_sum(buf: np.ndarray) -> np.uint64:
+    """The polynomial of one span of any length, block by block."""
+    total, shift = 0, 1
+    for low in range(0, len(buf), BLOCK):
+        part = buf[low : low + BLOCK]
+        total += shift * int(_sums(part, np.array([0]), np.array([len(part)]))[0])
+        shift = shift * pow(int(_BASE), len(part), 1 << 64) % (1 << 64)
+    return _U(total % (1 << 64))
+
+
+def hash_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte span, in order of start, in blocks of BLOCK bytes, so memory follows the spans only."""
+    out, i = np.empty(len(start), dtype=_U), 0
     with np.errstate(over="ignore"):
-        pre = np.empty(len(buf) + 1, dtype=_U)
-        pre[0] = 0
-        np.cumsum((buf.astype(_U) + _U(1)) * fwd[: len(buf)], out=pre[1:])
-        return mix((pre[end] - pre[start]) * inv[start] + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
+        while i < len(start):
+            low = int(start[i])
+            j = int(np.searchsorted(end, low + BLOCK, "right"))
+            if j <= i:
+                out[i] = _long_sum(buf[low : end[i]])
+                j = i + 1
+            else:
+                out[i:j] = _sums(buf[low : end[j - 1]], start[i:j] - low, end[i:j] - low)
+            i = j
+        return mix(out + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
 def _slabs(raw: list[bytes], limit: int):
@@ -72,7 +99,7 @@ def _slabs(raw: list[bytes], limit: int):
         i = j
 
 
-def word_hashes(raw: list[bytes], limit: int = 1 << 21):
+def word_hashes(raw: list[bytes], limit: int = BLOCK):
     """Yields (index, hashes of the text's words in order) for every text, lower-casing A-Z."""
     for i, j in _slabs(raw, limit):
         buf = np.frombuffer(b" ".join(raw[i:j]).translate(ASCII_LOWER), dtype=np.uint8)

@@ -39,21 +39,20 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [b"" if t is None else t for t in column.cast(pa.large_binary()).to_pylist()]
 
 
-def pieces(batch: pa.RecordBatch, size: int | None = 1 << 22) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch in slices of about size bytes, at least one row each; None: the batch as it is."""
-    rows = batch.num_rows if size is None else max(1, batch.num_rows * size // max(1, batch.nbytes))
-    for low in range(0, batch.num_rows, max(1, rows)):
+def pieces(batch: pa.RecordBatch, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of about size bytes, at least one row each."""
+    rows = max(1, batch.num_rows * size // max(1, batch.nbytes))
+    for low in range(0, batch.num_rows, rows):
         yield batch.slice(low, rows)
 
 
-def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str, size: int | None = 1 << 22) -> DataFrame:
+def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, size: int = 1 << 21) -> DataFrame:
     """mapInArrow with a function from one slice of a batch to a dict of columns in the order of schema."""
 
     def run(it: Iterable[pa.RecordBatch], fn=fn) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for piece in pieces(batch, size):
-                if (out := fn(piece)) is not None:
-                    yield pa.RecordBatch.from_pydict(out)
+                yield pa.RecordBatch.from_pydict(fn(piece))
 
     return df.mapInArrow(run, schema)
 

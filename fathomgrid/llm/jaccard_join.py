@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import shingle_set, word_hashes
-from .common import components, map_rows, raw_texts, shared_table, split_by_ids
+from .common import components, map_rows, pieces, raw_texts, shared_table, split_by_ids
 
 def required_prefix(n: int, num: int, den: int) -> int:
     """How many leading shingles of a set of n must be looked at so that no pair at or above num/den is missed."""
@@ -97,28 +97,27 @@ def frequent_shingles(docs: DataFrame, n: int = 5, share: float = 0.0002, at_lea
     There are at most (mean shingles a document) / share of them, whatever the number of documents.
     """
 
-    def run(batch: pa.RecordBatch) -> dict | None:
-        out, counts, pending, held, docs_held = [], [], [], 0, 0
-
-        def flush():
-            nonlocal pending, held, docs_held
+    def run(it):
+        for batch in it:
+            pending, held, rows = [], 0, 0
+            for piece in pieces(batch):
+                for _, words in word_hashes(raw_texts(piece.column(0))):
+                    pending.append(shingle_set(words, n))
+                    held += len(pending[-1])
+                    rows += 1
+                    if held > 600_000:
+                        yield flush(pending, rows)
+                        pending, held, rows = [], 0, 0
             if pending:
-                u, c = np.unique(np.concatenate(pending), return_counts=True)
-                keep = c >= max(2, 2 * share * docs_held)
-                out.append(u[keep]), counts.append(c[keep])
-            pending, held, docs_held = [], 0, 0
-
-        for _, words in word_hashes(raw_texts(batch.column(0))):
-            pending.append(shingle_set(words, n))
-            held += len(pending[-1])
-            docs_held += 1
-            if held > 1_500_000:
-                flush()
-        flush()
-        return {"h": np.concatenate(out).view(np.int64), "c": np.concatenate(counts).astype(np.int64)} if out else None
+                yield flush(pending, rows)
+
+    def flush(sets: list, rows: int) -> pa.RecordBatch:
+        u, c = np.unique(np.concatenate(sets), return_counts=True)
+        keep = c >= max(2, 2 * share * rows)
+        return pa.RecordBatch.from_pydict({"h": u[keep].view(np.int64), "c": c[keep].astype(np.int64)})
 
     total = docs.count()
-    rows = map_rows(docs.select("text"), run, "h long, c long", size=None).groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= max(at_least, share * total)).select("h")
+    rows = docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= max(at_least, share * total)).select("h")
     found = rows.toArrow().column(0).to_numpy()
     return np.sort(found.astype(np.int64).view(np.uint64))
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, pieces, raw_texts
+from .common import map_rows, raw_texts
 
 CHUNK, WIDTH, EMBED, FILTERS, HIDDEN = 256, 8, 6, 32, 16
 #: Neighbouring chunks share WIDTH - 1 bytes, so that every filter sees every position of the text.
@@ -160,14 +160,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", t
 
 
 def keep_good(docs: DataFrame, net: ByteConvNet, threshold: float = 0.3, text_col: str = "text", slab: int = 256) -> DataFrame:
-    """The rows of docs whose text scores at least threshold, with all their columns."""
-    at = docs.columns.index(text_col)
+    """The rows of docs whose text scores at least threshold, with all their columns.
 
-    def run(it):
-        for batch in it:
-            for piece in pieces(batch):
-                raw = raw_texts(piece.column(at))
-                s = np.concatenate([net.score(raw[k : k + slab]) for k in range(0, len(raw), slab)])
-                yield piece.filter(pa.array(s >= threshold))
+    Only the text goes to Python and only the decision comes back; the rows stay in the JVM.
+    """
 
-    return docs.mapInArrow(run, docs.schema)
+    def good(texts: pa.Array) -> pa.Array:
+        keep = [net.score(raw_texts(texts.slice(k, slab))) >= threshold for k in range(0, len(texts), slab)]
+        return pa.array(np.concatenate(keep) if keep else np.zeros(0, bool))
+
+    return docs.where(F.arrow_udf(good, "boolean")(F.col(text_col).cast("string")))

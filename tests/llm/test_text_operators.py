@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomgrid.llm import decontaminate, html_text, jaccard_join, packing, quality_classifier, quality_rules, secret_scan, token_counts, toxicity, url_filter
-from fathomgrid.llm.bytewords import ASCII_LOWER, shingle_set, word_hashes
+from fathomgrid.llm.bytewords import ASCII_LOWER, BLOCK, shingle_set, word_hashes
 from fathomgrid.llm.common import components, drop_ids, map_rows, pieces
 from fathomgrid.llm.queries import URL_RULES
 
@@ -58,6 +58,16 @@ def test_shingles_equal_tuples():
     assert b"\xc3\x80Az".translate(ASCII_LOWER) == b"\xc3\x80az"
 
 
+def test_long_texts_hash_in_blocks_as_a_whole():
+    g = random.Random(6)
+    long = " ".join("w" * g.randrange(1, 90) + str(g.randrange(9)) for _ in range(12_000)) + " " + "z" * (2 * BLOCK + 17) + " end"
+    raw = long.encode()
+    assert len(raw) > 3 * BLOCK
+    whole = next(word_hashes([raw]))[1]
+    alone = [next(word_hashes([w]))[1][0] for w in raw.split()]
+    assert whole.tolist() == [int(h) for h in alone] and len(set(alone)) == len(set(raw.split()))
+
+
 def joined(rows):
     """Brute force: set size, component and links of every row."""
     s = sets(rows)
@@ -140,7 +150,7 @@ def test_components(spark):
 
 def test_pieces_cover_the_batch(spark):
     batch = pa.RecordBatch.from_pydict({"t": ["x" * k for k in range(500)] + [None, ""]})
-    for size in (None, 1, 1 << 14, 1 << 30):
+    for size in (1, 1 << 14, 1 << 30):
         got = pa.Table.from_batches(list(pieces(batch, size)))
         assert got.column(0).to_pylist() == batch.column(0).to_pylist()
     assert list(pieces(batch.slice(0, 0))) == []
