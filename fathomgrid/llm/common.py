@@ -46,15 +46,37 @@ def pieces(batch: pa.RecordBatch, size: int = 1 << 21) -> Iterator[pa.RecordBatc
         yield batch.slice(low, rows)
 
 
-def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, size: int = 1 << 21) -> DataFrame:
-    """mapInArrow with a function from one slice of a batch to a dict of columns in the order of schema."""
+#: Bytes of an Arrow batch between Spark and Python.
+BATCH_BYTES = 1 << 21
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after its session's limit for Arrow batches was set to BATCH_BYTES where it was Spark's default of 64 MB.
+
+    A batch of texts is held several times over by the executor and its worker, so its size decides what both need.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name) == "67108864b":
+        conf.set(name, str(BATCH_BYTES))
+    return df
 
-    def run(it: Iterable[pa.RecordBatch], fn=fn) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for piece in pieces(batch, size):
-                yield pa.RecordBatch.from_pydict(fn(piece))
 
-    return df.mapInArrow(run, schema)
+def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, size: int = BATCH_BYTES, after: Callable[[], None] | None = None) -> DataFrame:
+    """mapInArrow with a function from one slice of a batch to a dict of columns in the order of schema.
+
+    after is called when a task's rows are done: workers live on, and what they keep counts in later tasks.
+    """
+
+    def run(it: Iterable[pa.RecordBatch], fn=fn) -> Iterator[pa.RecordBatch]:
+        try:
+            for batch in it:
+                for piece in pieces(batch, size):
+                    yield pa.RecordBatch.from_pydict(fn(piece))
+        finally:
+            if after:
+                after()
+
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import shingle_set, word_hashes
-from .common import components, map_rows, pieces, raw_texts, shared_table, split_by_ids
+from .common import components, map_rows, pieces, raw_texts, shared_table, small_batches, split_by_ids
 
 def required_prefix(n: int, num: int, den: int) -> int:
     """How many leading shingles of a set of n must be looked at so that no pair at or above num/den is missed."""
@@ -98,8 +98,8 @@ def frequent_shingles(docs: DataFrame, n: int = 5, share: float = 0.0002, at_lea
     """
 
     def run(it):
+        pending, held, rows = [], 0, 0
         for batch in it:
-            pending, held, rows = [], 0, 0
             for piece in pieces(batch):
                 for _, words in word_hashes(raw_texts(piece.column(0))):
                     pending.append(shingle_set(words, n))
@@ -108,8 +108,8 @@ def frequent_shingles(docs: DataFrame, n: int = 5, share: float = 0.0002, at_lea
                     if held > 600_000:
                         yield flush(pending, rows)
                         pending, held, rows = [], 0, 0
-            if pending:
-                yield flush(pending, rows)
+        if pending:
+            yield flush(pending, rows)
 
     def flush(sets: list, rows: int) -> pa.RecordBatch:
         u, c = np.unique(np.concatenate(sets), return_counts=True)
@@ -117,7 +117,7 @@ def frequent_shingles(docs: DataFrame, n: int = 5, share: float = 0.0002, at_lea
         return pa.RecordBatch.from_pydict({"h": u[keep].view(np.int64), "c": c[keep].astype(np.int64)})
 
     total = docs.count()
-    rows = docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= max(at_least, share * total)).select("h")
+    rows = small_batches(docs.select("text")).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= max(at_least, share * total)).select("h")
     found = rows.toArrow().column(0).to_numpy()
     return np.sort(found.astype(np.int64).view(np.uint64))
 
@@ -264,7 +264,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lists = lists.join(classes.select("class_id", "n", "bits"), "class_id").select("key", "class_id", "n", "bits", "last")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lists = lists.repartition(width, "key").sortWithinPartitions("key")
-    candidates = components(lists.mapInArrow(lambda it: _list_edges(it, num, den), "a long, b long").union(beyond))
+    candidates = components(small_batches(lists).mapInArrow(lambda it: _list_edges(it, num, den), "a long, b long").union(beyond))
 
     # The members of a candidate component by size, cut into blocks; a row goes to each tile of its block.
     members = shared_table(classes.select("class_id", "n", "copies").join(candidates.withColumnRenamed("node", "class_id"), "class_id"))

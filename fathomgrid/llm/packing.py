@@ -121,7 +121,11 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, sequence
                     doc.append(i), start.append(at // 4), length.append(len(piece) // 4), crc.append(zlib.crc32(piece)), total.append(len(raw) // 4)
         return {"doc_id": pa.array(doc, pa.int64()), **{k: pa.array(v, pa.int64()) for k, v in (("start", start), ("length", length), ("ids_crc32", crc), ("doc_tokens", total))}}
 
-    return map_rows(docs, run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    def forget() -> None:
+        encoder(tokenizer_path).chunks.clear()
+        encoder(tokenizer_path).words.clear()
+
+    return map_rows(docs, run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long", after=forget)
 
 
 def shortest_pack_first(histogram: dict[int, int], sequence: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:

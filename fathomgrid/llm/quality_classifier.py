@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, raw_texts
+from .common import map_rows, raw_texts, small_batches
 
 CHUNK, WIDTH, EMBED, FILTERS, HIDDEN = 256, 8, 6, 32, 16
 #: Neighbouring chunks share WIDTH - 1 bytes, so that every filter sees every position of the text.
@@ -169,4 +169,4 @@ def keep_good(docs: DataFrame, net: ByteConvNet, threshold: float = 0.3, text_co
         keep = [net.score(raw_texts(texts.slice(k, slab))) >= threshold for k in range(0, len(texts), slab)]
         return pa.array(np.concatenate(keep) if keep else np.zeros(0, bool))
 
-    return docs.where(F.arrow_udf(good, "boolean")(F.col(text_col).cast("string")))
+    return small_batches(docs).where(F.arrow_udf(good, "boolean")(F.col(text_col).cast("string")))
