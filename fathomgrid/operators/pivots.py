@@ -95,7 +95,7 @@ def kcenter_bucketed(points: DataFrame, k: int, metric: str = "l2", n_buckets: i
 
 def kcenter(points: DataFrame, k: int, metric: str = "l2", extra: int = 0) -> DataFrame:
     """(id, v, weight): k centers in rounds; extra more per bucket in all rounds but the last, for outliers."""
-    from ..plans.shared import shared_table
+    from ..storage import shared_table
 
     rows, n = points, points.count()
     while n > BUCKET_ROWS and n > 2 * (k + extra):
@@ -186,7 +186,7 @@ def kcover(points: DataFrame, k: int, radius: float, cover: str = "ball", n_buck
 
 def kcover_iterated(points: DataFrame, k: int, radius: float, cover: str = "box", every: int = 1, bucket_rows: int = BUCKET_ROWS // 2) -> DataFrame:
     """Systematic sample, then rounds of bucketed cover until one bucket holds the rest, then the final cover."""
-    from ..plans.shared import shared_table
+    from ..storage import shared_table
 
     rows = systematic_sample(points, every) if every > 1 else points
     n = rows.count()

@@ -16,7 +16,7 @@ from ..operators import partition as P
 from ..operators import pivots as V
 from ..operators import spatial as S
 from ..sources import points as R
-from .shared import shared_table
+from ..storage import shared_table
 
 NEIGHBOURS, FAR, DIM = 6, 100.0, 2
 QUERIES: dict = {}
