@@ -1,37 +1,23 @@
-"""Helpers shared by the text operators: shared tables, Arrow batches and connected components."""
+"""Helpers shared by the text operators: row keys, Arrow batches and connected components."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_own: list[str] = []
+from ..storage import drop_table, shared_table
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="fathomgrid-"))
-        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-    return _own[0]
-
-
-def shared_table(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/fathomgrid-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def free_name(columns: Iterable[str], name: str) -> str:
+    """name, with underscores added until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def raw_texts(column: pa.Array) -> list[bytes]:
@@ -84,20 +70,33 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     component is the smallest node reachable. Only nodes with an edge to another node are returned. Every round
     is two aggregations and two equi-joins over the edges and ends in a table in the shared folder; no vertex's
-    neighbours are gathered in one row.
+    neighbours are gathered in one row or, beyond a limit, in one task.
     """
     e = shared_table(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     while not _is_star_forest(e):
+        limit = max(256, 2 * e.count() // MOST_HUBS)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        near = large.join(low, "u")
-        small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        e = shared_table(small.distinct())
+        large = _with_low(both, limit).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        near = _with_low(large, limit)
+        small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v")))
+        before, e = e, shared_table(small.distinct())
+        drop_table(before)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+#: At most so many vertices of very many edges are broadcast with their smallest neighbour in a round.
+MOST_HUBS = 50_000
+
+
+def _with_low(rows: DataFrame, limit: int) -> DataFrame:
+    """(u, v, m): m is the smallest v of u. Rows of a u with over limit rows find it by broadcast, the others by a join."""
+    low = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hubs = low.where(F.col("n") > limit).select("u", F.col("m").alias("hub_m"))
+    found = rows.join(F.broadcast(hubs), "u", "left")
+    rest = found.where("hub_m is null").select("u", "v").join(low.where(F.col("n") <= limit).select("u", "m"), "u")
+    return found.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m")).union(rest.select("u", "v", "m"))
+
+
 def _is_star_forest(e: DataFrame) -> bool:
     """Whether every u has one v, and no v is also a u."""
     roles = e.select(F.col("u").alias("x"), F.lit(1).alias("up")).union(e.select("v", F.lit(0)).distinct())
@@ -108,30 +107,60 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-#: Bits of the id filter below. Its table has at most 2**FILTER_BITS / 32 rows, whatever the input's size.
+#: Bits of the filter below. Its table has at most 2**FILTER_BITS / 32 rows, whatever the input's size.
 FILTER_BITS = 22
 
 
-def id_slot(column: Column) -> Column:
+def _slot(column: Column) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
 
 
+def may_be_in(rows: DataFrame, value: Column, values: DataFrame) -> tuple[DataFrame, Column]:
+    """rows with two more columns, and a condition on them that holds wherever value is in the one column of values.
+
+    A bitmap of fixed size over the hashes of values is broadcast, so rows need no shuffle. The condition may hold for
+    a few others too; it does not hold for null.
+    """
+    wanted = values.toDF("x").where("x is not null").select(_slot(F.col("x")).alias("slot"))
+    word, bits, at = (free_name(rows.columns, f"fathomgrid_{n}") for n in ("word", "bits", "at"))
+    marks = wanted.groupBy(F.expr("slot div 32").alias(word)).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 32 as int)))").alias(bits))
+    marked = rows.withColumn(at, _slot(value)).join(F.broadcast(marks), F.floor(F.col(at) / 32) == F.col(word), "left")
+    hit = F.coalesce(F.expr(f"(shiftright({bits}, cast({at} % 32 as int)) & 1) = 1"), F.lit(False)) & value.isNotNull()
+    return marked, hit
+
+
 def split_by_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """docs in two parts: rows that may have an id in ids, and rows that surely have none (null ids are among these).
 
-    A bitmap of fixed size over hashed ids is broadcast, so the second part needs no shuffle. The first part still
-    has to be joined exactly.
+    The second part needs no shuffle. The first part still has to be joined exactly.
     """
-    slot = id_slot(F.col("id"))
-    marks = ids.select(F.col(id_col).alias("id")).where("id is not null").select(slot.alias("slot"))
-    marks = marks.groupBy(F.expr("cast(slot div 32 as int)").alias("mark_word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 32 as int)))").alias("mark_bits"))
-    marked = docs.withColumn("mark_slot", id_slot(F.col(id_col)))
-    marked = marked.join(F.broadcast(marks), F.expr("cast(mark_slot div 32 as int)") == F.col("mark_word"), "left")
-    hit = F.coalesce(F.expr("(shiftright(mark_bits, cast(mark_slot % 32 as int)) & 1) = 1"), F.lit(False)) & F.col(id_col).isNotNull()
+    marked, hit = may_be_in(docs, F.col(id_col), ids.select(id_col))
     return marked.where(hit).select(*docs.columns), marked.where(~hit).select(*docs.columns)
 
 
 def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the rows whose id is in ids; only rows that may match are shuffled."""
+    """docs without the rows whose id is in ids; only rows that may match are shuffled. Rows with a null id stay."""
     may, surely_not = split_by_ids(docs, ids, id_col)
     return may.join(ids.select(id_col).distinct(), id_col, "left_anti").select(*docs.columns).unionByName(surely_not)
+
+
+def row_keyed(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str]:
+    """docs with a long column that is different in every row, and its name.
+
+    It is the id where no other row has it. Rows whose id is null or occurs again (and a few that share a slot of the
+    filter with these) get keys beyond all ids; they are stored, so that a task that runs again gives the same keys.
+    """
+    key = free_name(docs.columns, "fathomgrid_row")
+    own = F.col(id_col).try_cast("long")
+    ids = docs.select(own.alias("id"))
+    often = shared_table(ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").select("id"))
+    if often.isEmpty():
+        return docs.withColumn(key, own), key
+    low, high = ids.agg(F.min("id"), F.max("id")).first()
+    low, high, far = low or 0, high or 0, 1 << 62
+    if high >= far and low <= -far:
+        raise ValueError(f"{id_col} leaves no room for row keys: {low} to {high}")
+    nth = F.monotonically_increasing_id()
+    marked, hit = may_be_in(docs, own, often)
+    several = marked.where(hit | own.isNull()).select(*docs.columns).withColumn(key, F.lit(high) + 1 + nth if high < far else F.lit(low) - 1 - nth)
+    return marked.where(~hit & own.isNotNull()).select(*docs.columns, own.alias(key)).unionByName(shared_table(several)), key
