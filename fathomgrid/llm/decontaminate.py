@@ -1,28 +1,31 @@
-"""Benchmark decontamination: a prefix-filtered set join of document shingles with benchmark windows, DataFrame only.
+"""Benchmark decontamination: a prefix-filtered set join of documents with benchmark windows, DataFrame only.
 
 Plan
  1. A window is a run of `window` consecutive words of an item (a shorter item is one window). Its shingles are its
     runs of three words (all of it, if shorter). The distinct shingles of all windows are the dictionary.
- 2. Documents are split into words and shingles once; an equi-join with the dictionary leaves the hits
-    (document, position, shingle). The dictionary is broadcast while it is known to be small and joined by shuffle
-    beyond.
- 3. Hits give each shingle's frequency. Full containment needs every shingle of a window, so the necessary prefix of
-    a window in the order of rarity is its one rarest shingle. Joining hits with these prefixes gives candidates
-    (document, start, window), of which the position and length bounds remove those that reach outside the text.
- 4. A candidate is verified exactly: all of its shingles must be hits at their places, compared as text, which
-    together say that the words of the window stand there. Overlapping windows are merged to count the words hit.
-
-Results: one row per input row. A null or empty text has no words and is clean. doc_id is the key: repeated rows
-with the same text give equal results; a null doc_id is a key like any other. Benchmark items without a word have
-no window; items that repeat are counted one by one, null item_ids are not counted.
+ 2. One pass over all documents counts the dictionary's shingles. Full containment needs every shingle of a window,
+    so the necessary prefix of a window in the order of rarity is its one rarest shingle; a window with a shingle
+    that no document has is out.
+ 3. A second pass joins the documents' shingles with these prefixes only. A match at a place gives a candidate
+    (row, start, window), of which the position and length bounds remove those that reach outside the text.
+ 4. A candidate is verified exactly: the words of the text from start on, as many as the window has, are the window's.
+    Overlapping windows are merged to count the words hit.
+Steps 2 and 3 compare 64-bit hashes of words after full lower-casing, which equal words always share; step 4 compares
+the words themselves. Prefixes are broadcast while they are known to be few and joined by shuffle beyond, after a
+bitmap of fixed size has removed most shingles.
+
+Results: one row per input row, each judged by itself: rows with a repeated or null doc_id are as good as others. A
+null or empty text has no words and is clean. Benchmark items without a word have no window; items that repeat are
+counted one by one, null item_ids are not counted. Without documents there are no rows, without items none is hit.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_table, union_all
+from ..storage import shared_table
+from .common import drop_ids, may_be_in, row_keyed, split_by_ids
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words: ASCII other than digits and letters.
@@ -34,68 +37,100 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(F.translate(text, _UPPER, _LOWER), _BETWEEN), ""), F.array().cast("array<string>"))
 
 
+def _loose(text: Column) -> Column:
+    """Full lower-casing is much faster than translate; with one form of sigma it does not depend on the surroundings."""
+    return F.replace(F.lower(text), F.lit("ς"), F.lit("σ"))
+
+
+def _loose_words(text: Column) -> Column:
+    return F.coalesce(F.array_remove(F.split(_loose(text), _BETWEEN), ""), F.array().cast("array<string>"))
+
+
 def _runs(words: str, size: str) -> str:
     """SQL for the array of all runs of size words as text, in order."""
     return f"case when size({words}) >= {size} then transform(sequence(0, size({words}) - {size}), i -> concat_ws(' ', slice({words}, i + 1, {size}))) else cast(array() as array<string>) end"
 
 
-def _triples(words: str, size: int) -> str:
-    """The same for a fixed small size, without slicing."""
-    return f"case when size({words}) >= {size} then transform(sequence(0, size({words}) - {size}), i -> concat_ws(' ', {', '.join(f'{words}[i + {k}]' for k in range(size))})) else cast(array() as array<string>) end"
-
-
-def benchmark_windows(items: DataFrame, window: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(wid, item_id), (wid, size, offset, sid) and (sid, shingle, width); ids are the texts' own 64-bit hashes
-    checked for collisions by keeping the texts as join keys."""
+def benchmark_windows(items: DataFrame, window: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(content, size, item_id), and (content, size, width, offset, h) of the shingles of each distinct window."""
     words = items.select(F.col(id_col).alias("item_id"), words_of(F.col(text_col).cast("string")).alias("w")).where("size(w) > 0")
     words = words.withColumn("size", F.least(F.size("w"), F.lit(window)))
-    found = words.select("item_id", "size", F.explode(F.expr(_runs("w", "size"))).alias("content"))
-    of_item = shared_table(found.distinct())
-    spread = of_item.select("content", "size").distinct().withColumn("w", F.split("content", " ")).withColumn("width", F.least("size", F.lit(SHINGLE)))
-    parts = spread.select("content", "size", "width", F.posexplode(F.expr(_runs("w", "width"))).alias("offset", "shingle"))
-    return of_item.select("content", "item_id"), shared_table(parts), parts.select("shingle", "width").distinct()
-
-
-def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_rows: int = 100_000) -> tuple[DataFrame, DataFrame]:
-    """Two frames: (doc_id, n_words) per row of docs, and the verified occurrences (doc_id, start, size, content)."""
-    of_item, parts, _ = benchmark_windows(items, window, item_col, item_text_col)
-    dictionary = shared_table(parts.select("shingle", "width").distinct())
-    small = dictionary.count() <= broadcast_rows
-    maybe = F.broadcast if small else (lambda x: x)
-    widths = sorted(r["width"] for r in dictionary.select("width").distinct().collect())
-    words = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col).cast("string")).alias("w"))
-    frames = [words.select("doc_id", F.size("w").alias("n"), F.posexplode(F.expr(_triples("w", k))).alias("pos", "shingle")).join(maybe(dictionary.where(F.col("width") == k).select("shingle")), "shingle") for k in widths]
-    if not frames:
-        none = docs.sparkSession.createDataFrame([], "start int, size int, content string").crossJoin(docs.select(F.col(id_col).alias("doc_id")).limit(0))
-        return words.select("doc_id", F.size("w").alias("n_words")), none.select("doc_id", "start", "size", "content")
-    hits = shared_table(union_all(frames))
-
-    rarity = hits.groupBy("shingle").agg(F.count("*").alias("freq"))
-    ranked = parts.join(maybe(rarity), "shingle", "left").groupBy("content", "size").agg(F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "shingle", "offset")).alias("first"))
-    prefix = ranked.where("first.freq > 0").select("content", "size", F.col("first.shingle").alias("shingle"), F.col("first.offset").alias("offset"))
-    candidates = hits.join(maybe(prefix), "shingle").withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0 and start + size <= n").select("doc_id", "start", "size", "content").distinct()
-
-    needed = candidates.join(maybe(parts.select("content", "offset", "shingle")), "content").withColumn("pos", F.col("start") + F.col("offset"))
-    there = needed.alias("a").join(hits.select("doc_id", "pos", "shingle").distinct().alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.pos") == F.col("b.pos")) & (F.col("a.shingle") == F.col("b.shingle")))
-    held = there.groupBy(F.col("a.doc_id").alias("doc_id"), "start", "size", "content").agg(F.count("*").alias("held"))
-    verified = held.where(f"held = size - least(size, {SHINGLE}) + 1").drop("held")
-    return words.select("doc_id", F.size("w").alias("n_words")), verified
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    of_item = shared_table(words.select("item_id", "size", F.explode(F.expr(_runs("w", "size"))).alias("content")).distinct())
+    spread = of_item.select("content", "size").distinct().withColumn("w", F.split(_loose(F.col("content")), " ")).withColumn("width", F.least("size", F.lit(SHINGLE)))
+    hashes = "transform(sequence(0, size - width), i -> xxhash64(" + ", ".join(f"get(w, i + {k})" for k in range(SHINGLE)) + "))"
+    return of_item, shared_table(spread.select("content", "size", "width", F.posexplode(F.expr(hashes)).alias("offset", "h")))
+
+
+def _places(docs: DataFrame, key: str, text_col: str, widths: list[int]) -> DataFrame:
+    """(row, n, pos, last, h): the hash of the shingle of each width at each word; last marks one row of every text.
+
+    The outer generator keeps texts without a word, and keeps Spark from splitting every text once more to find them.
+    """
+    words = docs.select(F.col(key).alias("row"), _loose_words(F.col(text_col).cast("string")).alias("w"))
+    spread = words.select("row", "w", F.size("w").alias("n"), F.posexplode_outer("w").alias("pos", "x"))
+    at = lambda k: F.get("w", F.col("pos") + k) if k else F.col("x")
+    hashes = [F.xxhash64(*(at(k) for k in range(width))) for width in widths]
+    last = F.coalesce(F.col("pos") == F.col("n") - 1, F.lit(True))
+    if len(hashes) == 1:
+        return spread.select("row", "n", "pos", last.alias("last"), hashes[0].alias("h"))
+    out = spread.select("row", "n", "pos", last.alias("end"), F.posexplode(F.array(*hashes)).alias("kind", "h"))
+    return out.select("row", "n", "pos", (F.col("end") & (F.col("kind") == 0)).alias("last"), "h")
+
+
+def _matches(places: DataFrame, hashes: DataFrame, small: bool) -> tuple[DataFrame, Column]:
+    """places and a condition on them that holds where h is in hashes, and where they are many for some others too."""
+    if small:
+        return places.join(F.broadcast(hashes.select("h", F.lit(True).alias("met"))), "h", "left"), F.col("met").isNotNull()
+    return may_be_in(places, F.col("h"), hashes.select("h"))
+
+
+def contamination(docs: DataFrame, key: str, items: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_rows: int = 100_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three frames: (row, n_words) of every row, the verified occurrences (row, start, size, content), and the windows
+    (content, size, item_id). key is a column of docs with a value of its own in every row, as row_keyed gives."""
+    of_item, parts = benchmark_windows(items, window, item_col, item_text_col)
+    windows = of_item.count()
+    maybe = F.broadcast if windows <= broadcast_rows else (lambda x: x)
+    widths = sorted(r["width"] for r in parts.select("width").distinct().collect())
+    places = _places(docs, key, text_col, widths or [1])
+
+    dictionary = shared_table(parts.select("h").distinct())
+    marked, met = _matches(places, dictionary, dictionary.count() <= broadcast_rows)
+    freq = shared_table(marked.where(met).groupBy("h").agg(F.count("*").alias("freq")).join(dictionary, "h", "left_semi"))
+    ranked = parts.join(maybe(freq), "h", "left").groupBy("content", "size").agg(F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "h", "offset")).alias("first"))
+    prefix = shared_table(ranked.where("first.freq > 0").select("content", "size", F.col("first.h").alias("h"), F.col("first.offset").alias("offset")))
+
+    marked, met = _matches(places, prefix.select("h").distinct(), windows <= broadcast_rows)
+    hits = shared_table(marked.where(met | F.col("last")).select("row", "n", "pos", "last", F.when(met, F.col("h")).alias("h")))
+    found = hits.where("h is not null").join(maybe(prefix), "h").withColumn("start", F.col("pos") - F.col("offset"))
+    candidates = shared_table(found.where("start >= 0 and start + size <= n").select("row", "start", "size", "content").distinct())
+
+    texts = split_by_ids(docs.select(F.col(key).alias("row"), F.col(text_col).cast("string").alias("text")), candidates, "row")[0]
+    texts = texts.select(F.col("row").alias("text_row"), words_of(F.col("text")).alias("w"))
+    same = (F.col("row") == F.col("text_row")) & (F.slice("w", F.col("start") + 1, F.col("size")) == F.split("content", " "))
+    verified = candidates.join(texts, same).select("row", "start", "size", "content")
+    return hits.where("last").select("row", F.col("n").cast("long").alias("n_words")), verified, of_item
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_rows: int = 100_000) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items, contaminated) per row; items is the sorted array of item ids as text."""
-    counted, verified = contamination(docs, items, window, id_col, text_col, item_col, item_text_col)
+    keyed, key = row_keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    counted, verified, of_item = contamination(keyed, key, items, window, "text", item_col, item_text_col, broadcast_rows)
     verified = shared_table(verified)
-    of_item = benchmark_windows(items, window, item_col, item_text_col)[0]
-    spark = docs.sparkSession
-    verified.select("doc_id", "start", (F.col("start") + F.col("size")).alias("stop")).distinct().createOrReplaceTempView("fathomgrid_spans")
-    covered = spark.sql(
-        "select doc_id, sum(greatest(0, stop - greatest(start, coalesce(reach, 0)))) as n_hit from (select doc_id, start, stop, max(stop) over (partition by doc_id order by start, stop rows between unbounded preceding and 1 preceding) as reach from fathomgrid_spans) group by doc_id"
-    )
-    spark.catalog.dropTempView("fathomgrid_spans")
-    named = verified.select("doc_id", "content").distinct().join(of_item.where("item_id is not null"), "content").select("doc_id", "item_id").distinct()
-    listed = named.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.col("item_id").cast("string"))).alias("items"))
-    hit = covered.alias("c").join(listed.alias("l"), F.col("c.doc_id").eqNullSafe(F.col("l.doc_id")), "left").select(F.col("c.doc_id").alias("hit_id"), "n_hit", "items")
-    out = counted.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
+    spans = verified.select("row", "start", (F.col("start") + F.col("size")).alias("stop")).distinct()
+    before = Window.partitionBy("row").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("reach", F.coalesce(F.max("stop").over(before), F.lit(0)))
+    covered = spans.groupBy("row").agg(F.sum(F.greatest(F.lit(0), F.col("stop") - F.greatest("start", "reach"))).alias("n_hit"))
+    of_item = of_item.where("item_id is not null").select("content", F.col("item_id").cast("string").alias("item"))
+    named = verified.select("row", "content").distinct().join(of_item, "content").select("row", "item").distinct()
+    listed = named.groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items"))
     items_col = F.coalesce("items", F.array().cast("array<string>"))
-    return out.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items_col).cast("long").alias("n_items"), items_col.alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    out = keyed.select(F.col(key).alias("row"), "doc_id").join(counted, "row").join(covered.join(listed, "row", "left"), "row", "left")
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items_col).cast("long").alias("n_items"), items_col.alias("items"), (n_hit > 0).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs without an occurrence of a window, with all their columns as they are."""
+    keyed, key = row_keyed(docs, id_col)
+    _, verified, _ = contamination(keyed, key, items, window, text_col, item_col, item_text_col)
+    return drop_ids(keyed, shared_table(verified.select(F.col("row").alias(key)).distinct()), key).select(*docs.columns)
