@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from . import secret_scan
-
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANK = r"[\x20\x09-\x0D]+"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -61,20 +59,30 @@ from d left join hit using (doc_id) left join items using (doc_id)
 """
 
 
+#: Written out on their own, so that the SQL is a check of the operator's patterns too. 24+ hex digits and 20+ characters
+#: of an access identifier are tested after the match, as are the 6+ of an assigned value.
+_SECRET = {
+    "assign": r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
+    "access": "AKIA[A-Z0-9]+",
+    "hex": "[0-9a-f]+",
+    "key": "[-_/+0-9A-Za-z]{32,}",
+    "endpoint": "[Hh][Tt][Tt][Pp][Ss]?://[-.0-9A-Za-z]+[0-9A-Za-z](:[0-9]+)?(/[-._~/0-9A-Za-z]*)?",
+}
+_GOOD = {"assign": "len(value) >= 6", "access": "len(m) >= 20", "hex": "len(m) >= 24", "key": "regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Z]') and regexp_matches(m, '[a-z]')", "endpoint": "true"}
+
+
 def _secret_parts(kind: str) -> str:
-    pattern = secret_scan.PATTERNS[kind].replace("'", "''")
-    good = {"assign": "len(value) >= 6", "access": "len(m) >= 20", "key": "regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Z]') and regexp_matches(m, '[a-z]')"}.get(kind, "true")
-    value = f"regexp_extract_all(text, '{pattern}', 2)" if kind == "assign" else f"regexp_extract_all(text, '{pattern}')"
-    return f"""select doc_id, '{kind}' as kind, m, sum(len(gap) + len(m)) over (partition by doc_id order by idx) as stop, {good} as good from (
+    found = f"regexp_extract_all(text, '{_SECRET[kind]}')"
+    value = f"regexp_extract_all(text, '{_SECRET[kind]}', 2)" if kind == "assign" else found
+    return f"""select doc_id, '{kind}' as kind, m, sum(len(gap) + len(m)) over (partition by doc_id order by idx) as stop, {_GOOD[kind]} as good from (
         select doc_id, generate_subscripts(ms, 1) as idx, unnest(ms) as m, unnest(list_slice(rest, 1, len(ms))) as gap, unnest(vs) as value
-        from (select doc_id, regexp_extract_all(text, '{pattern}') as ms, {value} as vs, string_split_regex(text, '{pattern}') as rest from may) where len(ms) > 0)"""
+        from (select doc_id, {found} as ms, {value} as vs, string_split_regex(text, '{_SECRET[kind]}') as rest from texts) where len(ms) > 0)"""
 
 
-_RANK = "list_position([" + ", ".join(f"'{k}'" for k in secret_scan.KINDS) + "], kind)"
-_MAY = secret_scan._MAY.replace("'", "''")
+_RANK = "list_position(['assign', 'access', 'hex', 'key', 'endpoint'], kind)"
 OP9 = f"""
-with may as (select doc_id, text from documents where regexp_matches(text, '{_MAY}')),
-parts as (select doc_id, kind, stop - len(m) as a, stop as b from ({" union all ".join(_secret_parts(k) for k in secret_scan.KINDS)}) as p where good),
+with texts as (select doc_id, coalesce(text, '') as text from documents),
+parts as (select doc_id, kind, stop - len(m) as a, stop as b from ({" union all ".join(map(_secret_parts, _SECRET))}) as p where good),
 weak as (
     select w.doc_id, w.kind, w.a, w.b,
         bool_or(case when w.kind = 'key' then n.kind in ('access', 'endpoint') else n.kind in ('access', 'assign') end and not (n.kind in ('assign', 'access', 'hex') and n.a < w.b and w.a < n.b)) as linked,
