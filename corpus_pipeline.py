@@ -2,79 +2,45 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import wraps
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomgrid.llm import decontaminate, jaccard_join, packing, quality_classifier, secret_scan
-from fathomgrid.llm.common import drop_ids, shared_table, split_by_ids
+from fathomgrid.storage import drop_table, shared_table
 
 #: Not expressible in SQL: a trained network and a tokeniser are among the stages. Tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def _with_own_ids(docs: DataFrame) -> DataFrame | None:
-    """docs with the ids as given_id and, in all rows but one of a repeated id and all of a null id, new ids beyond the
-    largest; None if every row has an id of its own."""
-    often = shared_table(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id"))
-    if often.isEmpty():
-        return None
-    top = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0] or 0
-    may, rest = split_by_ids(docs.withColumn("given_id", F.col("doc_id")), often)
-    several = may.join(often, "doc_id", "left_semi").unionByName(rest.where("doc_id is null"))
-    several = shared_table(several.withColumn("new_id", F.lit(top) + 1 + F.monotonically_increasing_id()))
-    first = several.where("given_id is not null").groupBy("given_id").agg(F.min("new_id").alias("first_id"))
-    several = several.join(first, "given_id", "left").withColumn("doc_id", F.when(F.col("new_id") == F.col("first_id"), F.col("given_id").cast("long")).otherwise(F.col("new_id")))
-    alone = may.join(often, "doc_id", "left_anti").unionByName(rest.where("doc_id is not null"))
-    return alone.unionByName(several.select(alone.columns))
-
-
-def by_row(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """The stage with an id of its own for every row, so that its decisions reach rows with a null or repeated id."""
-
-    @wraps(stage)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if (own := _with_own_ids(docs)) is None:
-            return stage(spark, docs, sf_dir)
-        return stage(spark, own, sf_dir).withColumn("doc_id", F.col("given_id")).select(*docs.columns)
-
-    return run
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; null and empty texts are judged by the score of no text, and
+    every row, also of a repeated or null id, by its own text."""
     net = quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_classifier.keep_good(docs, net)
 
 
-@by_row
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest id stays, null ids last; of rows with that id, one."""
-    linked = jaccard_join.ngram_jaccard_join(docs)
-    return drop_ids(docs, shared_table(linked.where("component_id <> doc_id").select("doc_id").distinct()))
+    """Of each group of linked rows one stays, the one with the smallest id; ids that are null or occur again come last.
+    Texts without a word are in no group and stay."""
+    return jaccard_join.drop_near_duplicates(docs)
 
 
-@by_row
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark window go."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))[1]
-    return drop_ids(docs, shared_table(found.select("doc_id").distinct()))
+    """Rows with a benchmark window go, each judged by its own text; texts without a word stay."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-@by_row
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every secret span is masked in the text, and the character count follows; all documents stay."""
-    out = secret_scan.redact(docs, secret_scan.find_secrets(docs))
+    """Every secret span is masked in the text of its row, and the character count follows; all rows stay."""
+    out = secret_scan.redact(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.coalesce(F.length("text"), F.lit(0))).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences: a row per piece of a document."""
+    """Token sequences: a row per piece of a document, at least one for every row, also for a null or empty text."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -84,6 +50,8 @@ STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("benchmar
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table; between stages the rows are a table in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = shared_table(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, shared_table(stage(spark, docs, sf_dir))
+        if k:
+            drop_table(before)
     return STAGES[-1][1](spark, docs, sf_dir)
