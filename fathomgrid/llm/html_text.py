@@ -10,13 +10,18 @@ Plan
     the host salted over the page), and the page is extracted from the elements at that path, or from its own best
     container where it has none.
 
+A path of over LONGEST_PATH characters is a hash, which only voting needs. Parsing is linear in the page, whatever is
+nested, unclosed or repeated in it, and drops no text for being deep.
+
 Results: one row per input row. A null or empty page, or one without text, has an empty string. Repeated rows vote
-repeatedly and give repeated rows. Ties between paths go to more text, then to the path that sorts first.
+repeatedly and give repeated rows. Ties between paths go to more text, then to the path that sorts first. A null or hostless
+URL votes with all others of the kind. A table without rows gives none.
 """
 
 from __future__ import annotations
 
 import re
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
@@ -26,7 +31,10 @@ from pyspark.sql import functions as F
 from ..storage import shared_table
 from .common import map_rows, raw_texts
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+#: For a page with a quote that is never closed: a tag ends at the next >.
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_NAMED = re.compile(r"</?[a-zA-Z]")
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,16 +52,31 @@ _NAME = re.compile(r"[^a-z]+")
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 
+#: End tags that do not reach beyond the table cell they stand in.
+INSIDE_CELLS = frozenset(("p", "div", "li", "b", "i", "span"))
+LONGEST_PATH = 200
+
 
 class Element:
-    __slots__ = ("tag", "path", "parent", "skip", "own", "link", "first", "last")
+    """box is the nearest container, the element itself if it is one; own and link are its characters of text, path its
+    generalised path."""
+
+    __slots__ = ("tag", "path", "box", "outer", "skip", "own", "link", "first", "last")
 
     def __init__(self, tag: str, path: str, parent: Element | None, skip: bool, first: int):
-        self.tag, self.path, self.parent, self.skip, self.first = tag, path, parent, skip, first
+        self.tag, self.path, self.skip, self.first = tag, path, skip, first
+        self.box = self if parent is None or tag in CONTAINER else parent.box
+        self.outer = parent.box if parent is not None else None
         self.own = self.link = 0
         self.last = None
 
 
+def _longer(path: str, step: str) -> str:
+    """The path with one more step; beyond LONGEST_PATH characters, and from there on, a hash of path and step."""
+    out = f"{path}/{step}"
+    return out if len(out) <= LONGEST_PATH and path[:1] != "#" else "#" + blake2b(out.encode("utf-8", "replace"), digest_size=8).hexdigest()
+
+
 def _marks(attrs: str) -> tuple[str, bool]:
     """The generalised classes of a tag and whether its attributes mark it as boilerplate or hidden."""
     classes, boiler = [], False
@@ -71,127 +94,145 @@ def _marks(attrs: str) -> tuple[str, bool]:
 
 
 class Page:
-    """Blocks of text in page order and the containers that span them."""
+    """Blocks of text in page order and the containers that span them.
+
+    Time and memory are in proportion to the page, whatever is nested or left open: open elements are a stack with the
+    depths of each tag, and what was not found to the end of the page is not looked for again.
+    """
 
     def __init__(self, html: str):
         self.blocks: list[str] = []
         self.elements: list[Element] = []
         self._texts: list[str] = []
+        self._stack: list[Element] = []
+        #: Depths of the open elements by tag, and of those that are blocks.
+        self._open: dict[str, list[int]] = {}
+        self._block_depths: list[int] = []
         self._parse(html)
 
-    def _flush(self, top: Element) -> None:
+    def _flush(self) -> None:
         if self._texts:
             text = _SPACE.sub(" ", unescape("".join(self._texts))).strip()
             self._texts = []
             if text:
                 self.blocks.append(text)
-                e, level = top, 0
-                while e is not None and e.tag not in CONTAINER:
-                    e = e.parent
                 # A block's text counts whole for its nearest container and half for the one around that.
-                if e is not None:
-                    e.own += 2 * len(text)
-                    up = e.parent
-                    while up is not None and up.tag not in CONTAINER:
-                        up = up.parent
-                    if up is not None:
-                        up.own += len(text)
+                box = self._stack[-1].box
+                box.own += 2 * len(text)
+                if box.outer is not None:
+                    box.outer.own += len(text)
+
+    def _push(self, e: Element) -> None:
+        if e.tag in CONTAINER or not self._stack:
+            self.elements.append(e)
+        self._open.setdefault(e.tag, []).append(len(self._stack))
+        if e.tag in BLOCK:
+            self._block_depths.append(len(self._stack))
+        self._stack.append(e)
+
+    def _close(self, depth: int, block: bool) -> None:
+        """Closes the element at depth and all within."""
+        if block:
+            self._flush()
+        while len(self._stack) > depth:
+            e = self._stack.pop()
+            e.last = len(self.blocks)
+            self._open[e.tag].pop()
+            if e.tag in BLOCK:
+                self._block_depths.pop()
+
+    def _depth(self, tags) -> int:
+        """Of the innermost open element with one of the tags; -1 if there is none."""
+        return max((d[-1] for t in tags if (d := self._open.get(t))), default=-1)
+
+    def _tokens(self, html: str):
+        """(text before, closing mark, tag, attributes, end) of every tag; the last has no tag. Comments are left out."""
+        at = low = 0
+        tag, no_comment_end = _TAG, False
+        while (lt := html.find("<", at)) >= 0:
+            if m := tag.match(html, lt):
+                yield html[low:lt], m[1], m[2].lower(), m[3], m.end()
+                at = low = max(m.end(), self._at)
+                continue
+            after = html[lt + 1 : lt + 2]
+            if after in ("!", "?"):
+                if html.startswith("<!--", lt):
+                    end = html.find("-->", lt + 4)
+                    end = end + 3 if end >= 0 else len(html)
+                else:
+                    end = html.find(">", lt) + 1
+                if not end:
+                    break
+                if lt > low:
+                    yield html[low:lt], "", "", "", end
+                at = low = end
+                continue
+            if _NAMED.match(html, lt):
+                if tag is _PLAIN_TAG:
+                    break
+                # A quote that is never closed: from here on quotes do not hide the end of a tag.
+                tag = _PLAIN_TAG
+                continue
+            at = lt + 1
+        yield html[low:], "", "", "", len(html)
 
     def _parse(self, html: str) -> None:
-        top = Element("html", "", None, False, 0)
-        self.elements.append(top)
-        at, n, link = 0, len(html), 0
-        while at < n:
-            m = _TOKEN.search(html, at)
-            text = html[at : m.start() if m else n]
+        self._at = 0
+        self._push(Element("html", "", None, False, 0))
+        stack, link, unclosed = self._stack, 0, set()
+        for text, closing, tag, attrs, end in self._tokens(html):
+            top = stack[-1]
             if text and not top.skip:
                 self._texts.append(text)
                 if link:
-                    e = top
-                    while e is not None and e.tag not in CONTAINER:
-                        e = e.parent
-                    if e is not None:
-                        e.link += len(text)
-            if not m:
-                break
-            at = m.end()
-            if not m[2]:
+                    top.box.link += len(text)
+            if not tag:
                 continue
-            tag = m[2].lower()
-            if m[1]:
+            if closing:
                 if tag == "a":
                     link = max(0, link - 1)
-                e = top
-                while e is not None and e.tag != tag:
-                    if e.tag in ("td", "th", "table") and tag in ("p", "div", "li", "b", "i", "span"):
-                        e = None
-                        break
-                    e = e.parent
-                if e is not None and e.parent is not None:
-                    top = self._close(top, e, tag in BLOCK)
+                depth = self._depth((tag,))
+                if tag in INSIDE_CELLS and depth < self._depth(("td", "th", "table")):
+                    depth = -1
+                if depth > 0:
+                    self._close(depth, tag in BLOCK)
                 elif tag in BLOCK and tag != "html":
-                    self._flush(top)
+                    self._flush()
                 continue
-            if tag in RAW and not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-                at = end.end() if end else (n if tag in ("script", "style") else at)
+            if tag in RAW and not attrs.endswith("/"):
+                found = None if tag in unclosed else re.compile(rf"</{tag}\s*>", re.I).search(html, end)
+                if found is None:
+                    unclosed.add(tag)
+                self._at = found.end() if found else (len(html) if tag in ("script", "style") else end)
                 continue
             if tag == "br" or tag == "wbr":
                 if not top.skip:
                     self._texts.append(" " if tag == "br" else "")
                 continue
             if tag in BLOCK:
-                self._flush(top)
-                closes, stops = CLOSES.get(tag, ()), STOPS.get(tag, ())
-                e = top
-                if tag in CLOSES:
-                    while e is not None and e.tag not in closes and e.tag not in stops and (tag in STOPS or e.tag not in BLOCK):
-                        e = e.parent
-                    if e is not None and e.tag in closes:
-                        top = self._close(top, e, True)
-                else:
-                    # A block inside a paragraph ends the paragraph.
-                    while e is not None and e.tag not in BLOCK:
-                        e = e.parent
-                    if e is not None and e.tag == "p":
-                        top = self._close(top, e, True)
-            if tag in VOID or m[3].endswith("/"):
+                self._flush()
+                if tag in STOPS:
+                    depth = self._depth(CLOSES[tag] | STOPS[tag])
+                    if depth > 0 and stack[depth].tag in CLOSES[tag]:
+                        self._close(depth, True)
+                elif stack[depth := self._block_depths[-1]].tag == "p":
+                    # A block inside a paragraph, also another paragraph, ends the paragraph.
+                    self._close(depth, True)
+                top = stack[-1]
+            if tag in VOID or attrs.endswith("/"):
                 continue
             if tag == "a":
                 link += 1
-            if tag in ("html", "body") and any(e.tag == tag and e.parent is None for e in (top,)):
+            if tag in ("html", "body") and len(stack) == 1 and top.tag == tag:
                 continue
-            classes, boiler = _marks(m[3]) if m[3] else ("", False)
+            classes, boiler = _marks(attrs) if attrs else ("", False)
             if tag in ("body", "html"):
                 boiler = False
-            inside = self._within(top, ("article", "main"))
             heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-            skip = top.skip or tag in SKIP or (boiler and not heading) or (tag == "header" and not inside)
-            step = f"{tag}.{classes}" if classes else tag
-            child = Element(tag, f"{top.path}/{step}" if tag in CONTAINER else top.path, top, skip, len(self.blocks))
-            if tag in CONTAINER:
-                self.elements.append(child)
-            top = child
-        self._flush(top)
-        while top is not None:
-            top.last = len(self.blocks)
-            top = top.parent
-
-    @staticmethod
-    def _within(e: Element | None, tags: tuple[str, ...]) -> bool:
-        while e is not None:
-            if e.tag in tags:
-                return True
-            e = e.parent
-        return False
-
-    def _close(self, top: Element, e: Element, block: bool) -> Element:
-        if block:
-            self._flush(top)
-        while top is not e.parent:
-            top.last = len(self.blocks)
-            top = top.parent
-        return top
+            skip = top.skip or tag in SKIP or (boiler and not heading) or (tag == "header" and self._depth(("article", "main")) < 0)
+            self._push(Element(tag, _longer(top.path, f"{tag}.{classes}" if classes else tag) if tag in CONTAINER else top.path, top, skip, len(self.blocks)))
+        self._flush()
+        self._close(0, False)
 
     def best(self) -> Element:
         weight = {"article": 2.0, "main": 1.6}
@@ -219,7 +260,7 @@ def vote(html: str) -> tuple[str, int]:
 
 def host_of(url):
     """Column: what stands between :// and the next /, ?, # or the end, A-Z lower-cased; empty if there is none."""
-    host = F.regexp_extract(url, r"^.*?://([^/?#]*)", 1)
+    host = F.regexp_extract(url, r"^(?s).*?://([^/?#]*)", 1)
     return F.coalesce(F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
 
 
