@@ -73,8 +73,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     neighbours are gathered in one row or, beyond a limit, in one task.
     """
     e = shared_table(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    while not _is_star_forest(e):
-        limit = max(256, 2 * e.count() // MOST_HUBS)
+    while True:
+        # It is done when every u has one v and no v is also a u.
+        ends = e.select("u", F.lit(1).alias("up")).union(e.select("v", F.lit(0))).groupBy("u").agg(F.count("*").alias("n"), F.sum("up").alias("up"))
+        state = ends.agg(F.count_if(F.expr("up > 1 or (up > 0 and n > up)")).alias("open"), F.max("n").alias("most"), F.sum("up").alias("edges")).first()
+        if not state["open"]:
+            break
+        limit = max(256, 2 * state["edges"] // MOST_HUBS)
+        limit = limit if state["most"] > limit else None
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_low(both, limit).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         near = _with_low(large, limit)
@@ -88,21 +94,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 MOST_HUBS = 50_000
 
 
-def _with_low(rows: DataFrame, limit: int) -> DataFrame:
+def _with_low(rows: DataFrame, limit: int | None) -> DataFrame:
     """(u, v, m): m is the smallest v of u. Rows of a u with over limit rows find it by broadcast, the others by a join."""
     low = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    if limit is None:
+        return rows.join(low.select("u", "m"), "u")
     hubs = low.where(F.col("n") > limit).select("u", F.col("m").alias("hub_m"))
     found = rows.join(F.broadcast(hubs), "u", "left")
     rest = found.where("hub_m is null").select("u", "v").join(low.where(F.col("n") <= limit).select("u", "m"), "u")
     return found.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m")).union(rest.select("u", "v", "m"))
 
 
-def _is_star_forest(e: DataFrame) -> bool:
-    """Whether every u has one v, and no v is also a u."""
-    roles = e.select(F.col("u").alias("x"), F.lit(1).alias("up")).union(e.select("v", F.lit(0)).distinct())
-    return roles.groupBy("x").agg(F.count("*").alias("c"), F.sum("up").alias("up")).where("up > 0 and c > 1").isEmpty()
-
-
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

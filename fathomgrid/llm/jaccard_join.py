@@ -257,7 +257,7 @@ def _tiles(members: DataFrame, group: str, num: int, den: int) -> DataFrame:
 _ROW_COST = "n + 512"
 
 
-def links_of_rows(docs: DataFrame, key: str, text_col: str = "text", id_col: str = "doc_id", n: int = 5, similarity: tuple[int, int] = (80, 100), block: int = 256, frequent_share: float = 0.0002, list_block: int = 1024) -> DataFrame:
+def links_of_rows(docs: DataFrame, key: str, text_col: str = "text", id_col: str = "doc_id", n: int = 5, similarity: tuple[int, int] = (80, 100), block: int = 256, frequent_share: float = 0.0002, list_block: int = 1024, broadcast_rows: int = 100_000) -> DataFrame:
     """(row, doc_id, n_shingles, group, component_id, n_links) of every row; key has a value of its own in every row of
     docs, as row_keyed gives. group is the smallest row key that links reach.
 
@@ -268,6 +268,7 @@ def links_of_rows(docs: DataFrame, key: str, text_col: str = "text", id_col: str
     docs = docs.select(F.col(key).alias("row"), F.col(id_col).try_cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     heavy = spark.sparkContext.broadcast(frequent_shingles(docs, n, frequent_share))
     sets = shared_table(_sets(docs, n, heavy, num, den))
+    heavy.destroy()
     filled = sets.where("n > 0")
     classes = shared_table(filled.groupBy("n", "f1", "f2").agg(F.min("row").alias("class_id"), F.min("doc_id").alias("low"), F.count("*").alias("copies"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")))
 
@@ -302,10 +303,12 @@ def links_of_rows(docs: DataFrame, key: str, text_col: str = "text", id_col: str
     counts = found.where("b is null").groupBy(F.col("a").alias("class_id")).agg(F.sum("links").alias("links"))
     named = classes.select("n", "f1", "f2", "class_id", "low", "copies").join(linked.withColumnRenamed("node", "class_id"), "class_id", "left").join(counts, "class_id", "left")
     # Row keys are ids but for rows with a null or repeated id; only components with such rows need another name.
-    other = named.where("component is not null").groupBy("component").agg(F.min("low").alias("name")).where("not component <=> name").withColumn("other", F.lit(True))
-    named = named.join(other, "component", "left")
-    label = F.when(F.col("component").isNull(), F.col("low")).when(F.col("other"), F.col("name")).otherwise(F.col("component"))
-    named = named.select("n", "f1", "f2", F.coalesce("component", "class_id").alias("group"), label.alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    other = shared_table(named.where("component is not null").groupBy("component").agg(F.min("low").alias("name")).where("not component <=> name").withColumn("other", F.lit(True)))
+    few = other.count() <= broadcast_rows
+    alone = named.where("component is null").select("n", "f1", "f2", F.col("class_id").alias("group"), F.col("low").alias("component_id"), "copies", "links")
+    named = named.where("component is not null").join(F.broadcast(other) if few else other, "component", "left")
+    named = named.select("n", "f1", "f2", F.col("component").alias("group"), F.when(F.col("other"), F.col("name")).otherwise(F.col("component")).alias("component_id"), "copies", "links")
+    named = named.unionByName(alone).withColumn("n_links", F.col("copies") - 1 + F.coalesce("links", F.lit(0))).drop("copies", "links")
     out = filled.select("row", "doc_id", "n", "f1", "f2").join(named, ["n", "f1", "f2"]).select("row", "doc_id", F.col("n").alias("n_shingles"), "group", "component_id", "n_links")
     empty = sets.where("n = 0").select("row", "doc_id", F.col("n").alias("n_shingles"), F.col("row").alias("group"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(empty)

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -146,6 +147,11 @@ def test_components(spark):
             k = parent[k]
         return k
 
+    for a, b in edges:
+        p, q = root(a), root(b)
+        parent[max(p, q)] = min(p, q)
+    edges += [(1000, k) for k in range(1001, 1700)] + [(k, k + 1) for k in range(1699, 1705)] + [(3, 1703)]
+    parent = list(range(2000))
     for a, b in edges:
         p, q = root(a), root(b)
         parent[max(p, q)] = min(p, q)
@@ -468,3 +474,34 @@ def test_html_extraction(spark):
 def test_salted_join_gives_the_same_text(spark):
     pages = spark.createDataFrame([(k, f"https://h{k % 2}.org/{k}", PAGE.format(n=k)) for k in range(6)], "page_id long, url string, html string")
     assert sorted(map(tuple, html_text.extract_text(pages).collect())) == sorted(map(tuple, html_text.extract_text(pages, broadcast_rows=0).collect()))
+
+
+HOSTILE = {"nested": "<div>" * 200_000 + "x", "classes": "".join(f'<div class="c{chr(97 + k % 26)}x">' for k in range(200_000)) + "x", "inline": "<b>" * 200_000 + "x", "unmatched": "<b>" * 100_000 + "</i>" * 100_000 + "x", "paragraphs": "<b>" * 100_000 + "<p>x</p>" * 50_000, "cells": "<table><tr><td><b>" * 50_000 + "</div>" * 100_000 + "x", "titles": "<title>" * 200_000 + "x"}
+
+
+@pytest.mark.parametrize("name", sorted(HOSTILE))
+def test_hostile_pages_parse_in_linear_time(name):
+    began = time.process_time()
+    page = html_text.Page(HOSTILE[name])
+    assert time.process_time() - began < 10 and "x" in page.text(None) and max(len(e.path) for e in page.elements) <= html_text.LONGEST_PATH
+
+
+def test_unclosed_quotes():
+    began = time.process_time()
+    assert html_text.Page("<p>a</p>" + '<a "' * 200_000).text(None).startswith("a")
+    assert html_text.Page("<p>a</p><a href='x>b</a><p>c</p>" + '<a "' * 100_001 + ">d").text(None).startswith("a\nb\nc") and time.process_time() - began < 10
+
+
+def test_votes_against_brute_force(spark):
+    g = random.Random(5)
+    body = ["<article><p>{}</p></article>", '<div class="post-{n}"><p>{}</p></div>', "<main><p>{}</p><div><p>more</p></div></main>"]
+    rows = [(k, f"https://h{k % 4}.org/{k}", "<body>" + g.choice(body).replace("{n}", str(k)).format("text " * g.randrange(1, 30)) + "</body>") for k in range(60)]
+    votes = {}
+    for _, url, html in rows:
+        path, size = html_text.vote(html)
+        n = votes.setdefault(url.split("/")[2], {}).setdefault(path, [0, 0])
+        n[0], n[1] = n[0] + 1, n[1] + size
+    best = {h: min(v, key=lambda p: (-v[p][0], -v[p][1], p)) for h, v in votes.items()}
+    got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {(r["page_id"], r["path"]) for r in got} == {(k, best[u.split("/")[2]]) for k, u, _ in rows}
+    assert html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").limit(0)).count() == 0
