@@ -1,11 +1,13 @@
 """Quality rules: a short-circuit cascade ordered by rejection per cost, as measured on a sample.
 
-Every rule is a test of one statistic of the text. On a bounded sample each rule's time per byte and the share of
-rows that it rejects are measured; then rules run in order of rejection per cost (for independent rules the order
-of least expected cost), and a row leaves the cascade at the first rule that rejects it. The order changes the
-time, never which rows are kept.
-
-Results: one row per input row. A null or empty text has zeros everywhere and is rejected for being short.
+Every rule is a test of one statistic of the text. On a bounded sample each rule's marginal time per byte and the share
+of rows that it rejects are measured, given the rules before it and the statistics that are wanted anyhow; rules run in
+the order of rejection per cost, and a row leaves the cascade at the first rule that rejects it. What only later rules
+need is never computed for it. The order changes the time, never which rows are kept.
+
+Results: one row per input row, each by its own text, also for repeated and null ids. A null or empty text has zeros
+everywhere and is rejected for being short. The order never decides ties: kept and base_failed do not depend on it,
+only failed_rule names the first rule in it that rejects. A table without rows gives none.
 """
 
 from __future__ import annotations
@@ -41,6 +43,9 @@ class TextStats:
             known[name] = getattr(TextStats, "_" + name)(self)
         return known[name]
 
+    def known(self) -> set[str]:
+        return set(self._known)
+
     def _n_words(self) -> int:
         return len(self.raw.split())
 
@@ -104,16 +109,30 @@ MORE_RULES = (
 )
 
 
-def plan_cascade(sample: list[bytes], rules: tuple[Rule, ...]) -> list[dict]:
-    """The rules in order of rejection per cost, with the cost (ns a byte) and the share of rows each rejects."""
-    size = max(1, sum(map(len, sample)))
-    out = []
-    for r in rules:
+def plan_cascade(sample: list[bytes], rules: tuple[Rule, ...], known: tuple[str, ...] = ()) -> list[dict]:
+    """The rules in order, each with its marginal cost (ns a byte) and the share of the rows reaching it that it rejects.
+
+    One after the other the rule with the most rejection per cost is taken, measured on the sample's rows that no rule
+    before rejects. Statistics in known, and those that earlier rules have computed, cost nothing any more.
+    """
+    out, rows, done, left = [], list(sample), set(known), list(rules)
+
+    def measure(r: Rule) -> dict:
+        stats = [TextStats(t) for t in rows]
+        for t in stats:
+            for name in done:
+                getattr(t, name)
         began = time.perf_counter_ns()
-        rejected = sum(bool(r.rejects(TextStats(t))) for t in sample)
-        cost = max(1, time.perf_counter_ns() - began) / size
-        out.append({"rule": r, "cost": cost, "rejects": rejected / max(1, len(sample))})
-    return sorted(out, key=lambda x: (-(x["rejects"] + 1e-6) / x["cost"], x["rule"].name))
+        rejected = [bool(r.rejects(t)) for t in stats]
+        cost = max(1, time.perf_counter_ns() - began) / max(1, sum(map(len, rows)))
+        return {"rule": r, "cost": cost, "rejects": sum(rejected) / max(1, len(rows)), "stays": [t for t, x in zip(rows, rejected) if not x], "uses": set().union(*(t.known() for t in stats))}
+
+    while left:
+        best = min(map(measure, left), key=lambda x: (-(x["rejects"] + 1e-6) / x["cost"], x["rule"].name))
+        left.remove(best["rule"])
+        rows, done = best.pop("stays"), done | best.pop("uses")
+        out.append(best)
+    return out
 
 
 def first_rejection(stats: TextStats, order: list[Rule]) -> str | None:
@@ -128,8 +147,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     picked = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).distinct()
     got = docs.join(F.broadcast(picked), "doc_id").select("text").limit(2 * sample_rows).toArrow()
-    order = [x["rule"] for x in plan_cascade(raw_texts(got.column(0).combine_chunks()) if got.num_rows else [], rules)]
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words") if with_counts else ()
+    order = [x["rule"] for x in plan_cascade(raw_texts(got.column(0).combine_chunks()) if got.num_rows else [], rules, counts)]
     base = {r.name for r in BASE_RULES}
 
     def run(batch: pa.RecordBatch) -> dict:
