@@ -233,6 +233,43 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(pages.limit(0), URL_RULES).count() == 0
 
 
+def mined_verdict(tokens, rows, min_support, min_confidence, max_tokens):
+    """Brute force: the surest of all rules with at most max_tokens tokens that fit."""
+    best = None
+    for n in range(1, max_tokens + 1):
+        for t in itertools.combinations(sorted(tokens), n):
+            fits = [v for u, v in rows if set(t) <= u]
+            for verdict in ("allow", "block"):
+                both = sum(v == verdict for v in fits)
+                if both >= min_support * len(rows) and both >= min_confidence * len(fits) and fits:
+                    best = max(filter(None, (best, (both / len(fits), both / len(rows), verdict == "block", verdict))))
+    return best[3] if best else "allow"
+
+
+def test_mined_rules_against_brute_force(spark):
+    g = random.Random(21)
+    words = ["sale", "shop", "blog", "news", "play", "read"]
+    path = lambda: "/".join(g.sample(words, g.randrange(1, 4)))
+    urls = [f"https://a{k % 3}.example.com/en/{path()}/twin/pair/{k}" for k in range(30)] + [f"https://b{k % 4}.com/{path()}" + g.choice(["", "/twin/pair"]) for k in range(40)]
+    urls += [f"https://c.net/es/{path()}" for k in range(15)] + [f"https://d{k % 5}.org/{path()}" + g.choice(["", "/twin", "/pair"]) for k in range(60)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    frame = pages.select("page_id", url_filter.url_tokens(*url_filter.url_parts(F.col("url"))).alias("t"))
+    tokens = {r["page_id"]: set(r["t"]) for r in frame.collect()}
+    got = {r["page_id"]: r for r in url_filter.filter_urls(pages, URL_RULES, min_support=0.03, min_confidence=0.6).collect()}
+    labelled = [(tokens[k], r["verdict"]) for k, r in got.items() if r["rule"]]
+    asked = [k for k, r in got.items() if not r["rule"]]
+    assert len(asked) >= 60 and len({got[k]["verdict"] for k in asked}) == 2
+    assert {k: got[k]["verdict"] for k in asked} == {k: mined_verdict(tokens[k], labelled, 0.03, 0.6, 3) for k in asked}
+
+
+def test_long_shared_paths_are_mined_quickly(spark):
+    shared = "/".join(f"part{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(30))
+    rows = [f"https://x.example.com/{'en/' if k % 2 else 'xx/'}{shared}/{k}" for k in range(60)] + [f"https://q.org/{shared}", "https://q.org/partab"]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    began = time.time()
+    assert url_filter.filter_urls(pages, URL_RULES).count() == 62 and time.time() - began < 60
+
+
 def test_quality_rules(spark):
     rows = texts()
     got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs(spark)).collect()}
@@ -261,6 +298,27 @@ def test_cascade_order_prefers_cheap_rejection():
     assert [x["rule"].name for x in plan] == ["quick", "slow"] and plan[0]["rejects"] == 0.5
 
 
+def test_cascade_computes_only_what_it_needs():
+    """Rules run on the rows that reach them, and a statistic that is known costs a rule nothing."""
+    sample = [b"x! " * 4000] * 30 + [b"plain words here " * 400] * 10
+    calls = Counter()
+
+    def rule(name, rejects):
+        return quality_rules.Rule(name, lambda t: calls.update([name]) or rejects(t))
+
+    marks, repeats = rule("marks", lambda t: 100 * t.n_marks > 50 * t.n_words), rule("repeats", lambda t: t.n_repeat_words < 0)
+    order = [x["rule"] for x in quality_rules.plan_cascade(sample, (repeats, marks))]
+    assert [r.name for r in order] == ["marks", "repeats"]
+    calls.clear()
+    stats = [quality_rules.TextStats(t) for t in sample]
+    for t in stats:
+        quality_rules.first_rejection(t, order)
+    assert calls == {"marks": 40, "repeats": 10} and sum("n_repeat_words" in t.known() for t in stats) == 10
+    plan = {x["rule"].name: x for x in quality_rules.plan_cascade(sample, (repeats, marks), ("n_repeat_words",))}
+    alone = {x["rule"].name: x for x in quality_rules.plan_cascade(sample[30:], (repeats,))}
+    assert plan["repeats"]["cost"] < alone["repeats"]["cost"] / 3
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
