@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import drop_table, shared_table
@@ -69,8 +69,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components by alternating large-star and small-star rounds; rows (node, component).
 
     component is the smallest node reachable. Only nodes with an edge to another node are returned. Every round
-    is two aggregations and two equi-joins over the edges and ends in a table in the shared folder; no vertex's
-    neighbours are gathered in one row or, beyond a limit, in one task.
+    finds the lowest neighbour of every vertex twice and ends in a table in the shared folder; no vertex's neighbours
+    are gathered in one row or, beyond a limit, in one task.
     """
     e = shared_table(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     while True:
@@ -82,9 +82,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         limit = max(256, 2 * state["edges"] // MOST_HUBS)
         limit = limit if state["most"] > limit else None
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_low(both, limit).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        near = _with_low(large, limit)
-        small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v")))
+        large = _with_low(both, limit).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        # Each end of a row with the lowest of both; the one that is lowest itself has none.
+        small = _with_low(large, limit).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v")
         before, e = e, shared_table(small.distinct())
         drop_table(before)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
@@ -95,14 +95,16 @@ MOST_HUBS = 50_000
 
 
 def _with_low(rows: DataFrame, limit: int | None) -> DataFrame:
-    """(u, v, m): m is the smallest v of u. Rows of a u with over limit rows find it by broadcast, the others by a join."""
-    low = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    """(u, v, m): m is the smallest v of u. Rows of a u with over limit rows find it by broadcast and are dealt by v, the
+    others in a window.
+
+    Few exchanges are a point here: Spark's driver keeps a thread for each of the last minute's.
+    """
     if limit is None:
-        return rows.join(low.select("u", "m"), "u")
-    hubs = low.where(F.col("n") > limit).select("u", F.col("m").alias("hub_m"))
-    found = rows.join(F.broadcast(hubs), "u", "left")
-    rest = found.where("hub_m is null").select("u", "v").join(low.where(F.col("n") <= limit).select("u", "m"), "u")
-    return found.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m")).union(rest.select("u", "v", "m"))
+        return rows.select("u", "v", F.min("v").over(Window.partitionBy("u")).alias("m"))
+    hubs = rows.groupBy("u").agg(F.min("v").alias("hub_m"), F.count("*").alias("n")).where(F.col("n") > limit).select("u", "hub_m")
+    found = rows.join(F.broadcast(hubs), "u", "left").withColumn("part", F.when(F.col("hub_m").isNotNull(), F.xxhash64("v")).otherwise(F.lit(0)))
+    return found.select("u", "v", F.coalesce("hub_m", F.min("v").over(Window.partitionBy("u", "part"))).alias("m"))
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
