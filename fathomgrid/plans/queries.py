@@ -298,13 +298,13 @@ def box_range_count(spark, d):
     return S.box_range(_parts(spark, d), [10, 950], [20, 1200]).agg(F.count("*").alias("n"))
 
 
-@query(f"with {PTS} select a.id as center_id, count(*) as n from pts a join pts b on abs(a.x - b.x) <= 5 and abs(a.y - b.y) <= 5 where a.id % 10 = 0 group by a.id")
+@query(f"with {PTS} select a.id as center_id, count(*) as n from pts a join pts b on abs(a.x - b.x) <= 5 and abs(a.y - b.y) <= 5 group by a.id")
 def box_cover_count(spark, d):
     p = _parts(spark, d)
     return S.box_counts(p, p, 5.0, DIM)
 
 
-@query(f"with {PTS} select a.id as center_id, count(*) as n from pts a join pts b on {_d()} < 15 where a.id % 10 = 0 group by a.id")
+@query(f"with {PTS} select a.id as center_id, count(*) as n from pts a join pts b on {_d()} < 15 group by a.id")
 def ball_range_count(spark, d):
     p = _parts(spark, d)
     return S.ball_counts(p, p, 15.0, DIM)

@@ -19,15 +19,16 @@ def from_array(df: DataFrame, id_col: str, array_col: str, dim: int | None = Non
 
 
 def read_text(spark: SparkSession, path: str, dim: int, sep: str = ",", with_id: bool = True) -> DataFrame:
-    """(id, v) from lines id,x1..xd and whatever follows; blanks around fields are ignored, short lines left out.
+    """(id, v) from lines id,x1..xd and whatever follows; blanks around fields are ignored; lines that are short or have a
+    field that is no number are left out.
 
     Without ids, the id is a hash of the line, so equal lines are equal points.
     """
     part = F.split(F.col("value"), "[" + sep.replace("\\", "\\\\").replace("]", "\\]") + "]")
     first = 1 if with_id else 0
-    line_id = F.trim(part[0]).cast("long") if with_id else F.xxhash64("value")
+    line_id = F.trim(part[0]).try_cast("long") if with_id else F.xxhash64("value")
     lines = spark.read.text(path).where(F.size(part) >= dim + first)
-    return lines.select(line_id.alias("id"), F.transform(F.slice(part, first + 1, dim), lambda x: F.trim(x).cast("double")).alias("v")).where("id is not null")
+    return lines.select(line_id.alias("id"), F.transform(F.slice(part, first + 1, dim), lambda x: F.trim(x).try_cast("double")).alias("v")).where("id is not null and not exists(v, x -> x is null)")
 
 
 def read_pivots(spark: SparkSession, path: str, dim: int, sep: str = ",") -> DataFrame:
@@ -38,7 +39,7 @@ def read_pivots(spark: SparkSession, path: str, dim: int, sep: str = ",") -> Dat
 def read_groups(spark: SparkSession, path: str) -> DataFrame:
     """(group_id, pos, cell_id) from lines of blank-separated pivot numbers after the group's number."""
     part = F.split(F.trim("value"), "\\s+")
-    return spark.read.text(path).where("trim(value) <> ''").select(part[0].cast("long").alias("group_id"), F.posexplode(F.slice(part, 2, 1_000_000)).alias("pos", "cell_id")).withColumn("cell_id", F.col("cell_id").cast("long"))
+    return spark.read.text(path).where("trim(value) <> ''").select(part[0].try_cast("long").alias("group_id"), F.posexplode(F.slice(part, 2, 1_000_000)).alias("pos", "cell_id")).withColumn("cell_id", F.col("cell_id").cast("long"))
 
 
 def weighted(df: DataFrame, line_col: str = "value") -> DataFrame:

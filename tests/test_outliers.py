@@ -94,7 +94,7 @@ def test_metric_registry(spark):
 
 
 def test_text_round_trip(spark, tmp_path):
-    (tmp_path / "in").write_text("1, 2.5,3\n2,4,5,name\nbad\n")
+    (tmp_path / "in").write_text("1, 2.5,3\n2,4,5,name\nbad\n3,abc,4.0\nx,1,2\n")
     p = R.read_text(spark, str(tmp_path / "in"), 2)
     assert sorted(map(tuple, p.collect())) == [(1, [2.5, 3.0]), (2, [4.0, 5.0])]
     assert sorted(r[0] for r in R.as_lines(p).collect()) == ["1,2.5,3.0", "2,4.0,5.0"]
@@ -163,7 +163,8 @@ def test_cover_counts_have_every_part_as_a_center(spark, tmp_path):
     assert got["ball_range_count"] == {i: int((np.sqrt((gap[i] ** 2).sum(1)) < 15).sum()) for i in range(60)}
 
 
-def test_one_dimension_beyond_the_all_pairs_limit(spark, tmp_path):
+def test_one_dimension_beyond_the_all_pairs_limit(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(K, "ALL_PAIRS_ROWS", 5_000)
     g = np.random.default_rng(17)
     balance = g.uniform(-1000, 10000, K.ALL_PAIRS_ROWS + 200).round(2)
     spark.createDataFrame([(i, float(x)) for i, x in enumerate(balance)], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
