@@ -93,109 +93,161 @@ def kcenter_bucketed(points: DataFrame, k: int, metric: str = "l2", n_buckets: i
     return _greedy(weighted.select("id", "v", "weight"), bucket, lambda i, v, w: farthest_first(i, v, k, dist, w), _CENTERS)
 
 
-def kcenter(points: DataFrame, k: int, metric: str = "l2", extra: int = 0) -> DataFrame:
-    """(id, v, weight): k centers in rounds; extra more per bucket in all rounds but the last, for outliers."""
+def kcenter(points: DataFrame, k: int, metric: str = "l2", extra: int = 0, by=None) -> DataFrame:
+    """(id, v, weight): k centers in rounds, with the points that each stands for; extra more, for outliers.
+
+    by deals points to buckets, a hash of the id unless given. Half a bucket's rows is the limit for k + extra where
+    there is more than one bucket, so that every round has fewer rows than the last.
+    """
     from ..storage import shared_table
 
     rows, n = points, points.count()
-    while n > BUCKET_ROWS and n > 2 * (k + extra):
-        rows = shared_table(kcenter_bucketed(rows, k + extra, metric, math.ceil(n / BUCKET_ROWS)))
-        if (now := rows.count()) >= n:
-            break
-        n = now
+    if n > BUCKET_ROWS and 2 * (k + extra) > BUCKET_ROWS:
+        raise ValueError(f"{k + extra} centers are too many for buckets of {BUCKET_ROWS} rows")
+    while n > BUCKET_ROWS:
+        rows = shared_table(kcenter_bucketed(rows, k + extra, metric, math.ceil(n / BUCKET_ROWS), by))
+        n = rows.count()
     return kcenter_bucketed(rows, k + extra, metric, 1)
 
 
-def cover_with_outliers(centers: DataFrame, k: int, g: float, metric: str = "l2", near: float = 5.0, far: float = 11.0) -> tuple[list[tuple], list[tuple]]:
+def cover_with_outliers(centers: DataFrame, k: int, g: float, metric: str = "l2", near: float = 5.0, far: float = 11.0, max_pivots: int = 100) -> tuple[list[tuple], list[tuple]]:
     """Greedy weighted cover of bounded centers (id, v, weight): (pivots, outliers) as lists of (id, v, weight).
 
-    The center with the most weight within near * g becomes a pivot and everything within far * g goes, until the
-    best weight is at most 5 * k; what is left are outliers.
+    Of all centers that are no pivot yet, covered or not, the one with the most weight that is left within near * g
+    becomes a pivot and everything within far * g goes, until the best weight is at most 5 * k or there are max_pivots;
+    what is left are outliers. Weights are counts of points, so sums of them are exact.
     """
     rows = centers.limit(4 * BUCKET_ROWS + 1).collect()
     if len(rows) > 4 * BUCKET_ROWS:
         raise ValueError("too many centers for the final round; run kcenter first")
+    if not rows:
+        return [], []
     rows.sort(key=lambda r: r["id"])
     v, w, dist = np.array([r["v"] for r in rows]), np.array([float(r["weight"]) for r in rows]), M.vectorised(metric)
-    left, pivots = np.ones(len(rows), bool), []
-    while left.any():
-        at = np.flatnonzero(left)
-        weight = np.array([w[at][dist(v[at], v[i]) <= near * g].sum() for i in at])
-        if weight.max() <= 5 * k:
+    slab = max(1, 4_000_000 // v.size)
+
+    def weight_near(of: np.ndarray) -> np.ndarray:
+        """For every center, the weight of these within near * g."""
+        total = np.zeros(len(w))
+        for low in range(0, len(of), slab):
+            some = of[low : low + slab]
+            total += (dist(v[:, None], v[None, some]) <= near * g) @ w[some]
+        return total
+
+    left, chosen, pivots = np.ones(len(rows), bool), np.zeros(len(rows), bool), []
+    weight = weight_near(np.arange(len(rows)))
+    while len(pivots) < min(max_pivots, len(rows)):
+        best = int(np.where(chosen, -1.0, weight).argmax())
+        if weight[best] <= 5 * k:
             break
-        best = at[weight.argmax()]
+        chosen[best] = True
         pivots.append(rows[best])
-        left &= dist(v, v[best]) > far * g
+        gone = np.flatnonzero(left & (dist(v, v[best]) <= far * g))
+        left[gone] = False
+        weight -= weight_near(gone)
     return [tuple(r) for r in pivots], [tuple(rows[i]) for i in np.flatnonzero(left)]
 
 
-def cover_greedily(ids: np.ndarray, v: np.ndarray, k: int, radius: float, box: bool, grow: float = 2.0) -> np.ndarray:
-    """Row numbers of at most k centers.
+def cover_greedily(ids: np.ndarray, v: np.ndarray, k: int, domain: float, factor: float, box: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of at most k centers, and for every row the row number of the center that it went to.
 
-    Again and again the point (of all points, the lowest id among equals) whose open ball, or closed box, of the
-    radius holds the most centers that are left absorbs them; the radius grows when nothing can be merged.
-    The counts are kept up to date as centers go, so memory is in proportion to the points.
+    At first every point is a center. Again and again the point (of all points, the lowest id among equals) whose open
+    ball, or closed box, holds the most centers absorbs them and the center it went to itself; a count beyond what is
+    too much for k is no better than that. The radius is the side of a cell that each center would have in the domain,
+    times factor, anew after each merger; it doubles where nothing can be merged. Up to k points all stay, repeated
+    ones too. Points at no finite distance from others stay. Memory is the square of the points: see kcover's buckets.
     """
     order = np.argsort(ids, kind="stable")
-    v = v[order]
-    gap = (lambda p, to: np.abs(to - p).max(-1)) if box else (lambda p, to: np.sqrt(((to - p) ** 2).sum(-1)))
-    left = np.ones(len(ids), bool)
-    radius = radius or max(float(gap(p, v).max()) for p in v) / max(1, len(ids)) or 1.0
-    # Rows in the order of the widest coordinate: what is within the radius of a point lies in one run of them.
-    axis = int(np.argmax(np.ptp(v, 0)))
-    along = np.argsort(v[:, axis], kind="stable")
-    run, at = v[along], v[along, axis]
-
-    def near(i: int) -> np.ndarray:
-        far = radius * (1 + 1e-9)
-        low, high = np.searchsorted(at, np.nextafter(v[i, axis] - far, -np.inf), "left"), np.searchsorted(at, np.nextafter(v[i, axis] + far, np.inf), "right")
-        d = gap(v[i], run[low:high])
-        return along[low:high][d <= radius if box else d < radius]
-
-    size = None
-    while left.sum() > k:
-        if size is None:
-            size = np.zeros(len(ids), int)
-            for i in np.flatnonzero(left):
-                size[near(i)] += 1
+    v = np.asarray(v, float)[order]
+    n, dim = v.shape
+    at, owner = np.arange(n), np.arange(n)
+    if n <= k:
+        return order, at
+
+    def gaps(to: np.ndarray) -> np.ndarray:
+        out = np.zeros((n, len(to)))
+        for c in range(dim):
+            step = np.abs(v[:, c, None] - v[None, to, c])
+            out = np.maximum(out, step) if box else out + step * step
+        return out if box else np.sqrt(out)
+
+    gap, left = gaps(at), n
+    radius = M.cover_radius(0.0, domain, dim, left, factor)
+    while left > k:
+        inside = gap <= radius if box else gap < radius
+        size = np.minimum(inside.sum(1) - 1, left - k)
         best = int(size.argmax())
-        if size[best] <= 1:
-            radius, size = radius * grow, None
+        if size[best] < 1:
+            if not np.isfinite(radius):
+                break
+            radius *= 2
             continue
-        gone = near(best)
-        for i in gone[left[gone] & (gone != best)]:
-            left[i] = False
-            size[near(i)] -= 1
-        if not left[best]:
-            left[best] = True
-            size[near(best)] += 1
-    return order[np.flatnonzero(left)]
-
-
-def kcover(points: DataFrame, k: int, radius: float, cover: str = "ball", n_buckets: int | None = None, grow: float = 2.0) -> DataFrame:
-    """(id, v, weight): at most k centers of each bucket by greedy cover; a bucket of k points or fewer passes."""
+        gone = np.flatnonzero(inside[best] | (at == owner[best]))
+        owner[np.isin(owner, at[gone])] = best
+        # The columns of gap are the centers that are left; the new one takes the place of one that went.
+        at[gone[1:]], gap[:, gone[1:]] = -1, np.nan
+        at[gone[0]], gap[:, gone[0]] = best, gaps(np.array([best]))[:, 0]
+        left = int((at >= 0).sum())
+        if left < 0.75 * len(at):
+            at, gap = at[at >= 0], gap[:, at >= 0]
+        radius = M.cover_radius(0.0, domain, dim, left, factor)
+    to = np.empty(n, int)
+    to[order] = order[owner]
+    return order[np.sort(at[at >= 0])], to
+
+
+#: Factors of the cover radius in the bucketed rounds and in the last one.
+COVER_FACTORS = {"ball": (1 / 5, 1.0), "box": (1 / 2, 1 / 2)}
+
+
+def domain_of(points: DataFrame) -> float:
+    """The widest range of all coordinates together; 1 where that is nothing."""
+    low, high = points.agg(F.min(F.array_min("v")), F.max(F.array_max("v"))).first()
+    return float(high - low) if low is not None and high > low and math.isfinite(high - low) else 1.0
+
+
+def kcover(points: DataFrame, k: int, domain: float, cover: str = "ball", n_buckets: int | None = None, factor: float | None = None, by=None) -> DataFrame:
+    """(id, v, weight): at most k centers of each bucket by greedy cover, with the points that went to each; a bucket of
+    k points or fewer passes. by deals points to buckets, a hash of the id unless given."""
+    if domain <= 0:
+        raise ValueError("the domain must have a positive range")
     n_buckets = n_buckets or max(1, math.ceil(points.count() / (BUCKET_ROWS // 2)))
-    bucket = F.pmod(F.xxhash64("id"), F.lit(n_buckets)).cast("int")
+    bucket = F.pmod(F.xxhash64("id") if by is None else by, F.lit(n_buckets)).cast("int")
+    factor = COVER_FACTORS[cover][0] if factor is None else factor
 
     def pick(i, v, w):
-        rows = cover_greedily(i, v, k, radius, cover == "box", grow)
-        return rows, np.ones(len(rows))
+        rows, to = cover_greedily(i, v, k, domain, factor, cover == "box")
+        return rows, np.bincount(to, w, len(i))[rows]
+
+    weighted = points if "weight" in points.columns else points.withColumn("weight", F.lit(1.0))
+    return _greedy(weighted.select("id", "v", "weight"), bucket, pick, _CENTERS)
 
-    return _greedy(points.select("id", "v").withColumn("weight", F.lit(1.0)), bucket, pick, _CENTERS)
 
+def kcover_iterated(points: DataFrame, k: int, domain: float | None = None, cover: str = "box", every: int = 1, bucket_rows: int = BUCKET_ROWS // 2) -> DataFrame:
+    """Systematic sample, then rounds of bucketed cover until one bucket holds the rest, then the final cover.
 
-def kcover_iterated(points: DataFrame, k: int, radius: float, cover: str = "box", every: int = 1, bucket_rows: int = BUCKET_ROWS // 2) -> DataFrame:
-    """Systematic sample, then rounds of bucketed cover until one bucket holds the rest, then the final cover."""
+    Half a bucket's rows is the limit for k where there is more than one bucket, so every round has fewer rows.
+    """
     from ..storage import shared_table
 
     rows = systematic_sample(points, every) if every > 1 else points
+    domain = domain_of(rows) if domain is None else domain
     n = rows.count()
+    if n > 1.5 * bucket_rows and 2 * k > bucket_rows:
+        raise ValueError(f"{k} centers are too many for buckets of {bucket_rows} rows")
     while n > 1.5 * bucket_rows:
-        rows = shared_table(kcover(rows, k, radius, cover, math.ceil(n / bucket_rows)))
-        if (now := rows.count()) >= n:
-            break
-        n = now
-    return kcover(rows, k, radius, cover, 1, grow=1.2)
+        rows = shared_table(kcover(rows, k, domain, cover, math.ceil(n / bucket_rows)))
+        n = rows.count()
+    return kcover(rows, k, domain, cover, 1, COVER_FACTORS[cover][1])
+
+
+def kcover_of_grid(points: DataFrame, k: int, dim: int, width: float, per_dim: int, domain: float, max_rep: int, cover: str = "box", n_buckets: int = 1, by=None) -> DataFrame:
+    """(id, v, weight): k-cover of the means of grid cells, in runs of max_rep points; an id is the last of its run."""
+    from .spatial import grid_representatives
+
+    means = grid_representatives(points, dim, width, per_dim, max_rep)
+    means = means.select("id", F.array(*(F.col(f"m{c}") for c in range(dim))).alias("v"), F.col("n").cast("double").alias("weight"))
+    return kcover(means, k, domain, cover, n_buckets, by=by)
 
 
 def kmeans(points: DataFrame, centers: DataFrame, dim: int, max_iter: int = 20, tol: float = 0.01) -> DataFrame:
@@ -221,7 +273,7 @@ STRATEGIES = {
     "random": lambda points, k, dim: sample_pivots(points, k),
     "best_of_sets": lambda points, k, dim: _renumbered(best_of_sets(points, 5, k, dim).select("id", "v")),
     "kcenter": lambda points, k, dim: _renumbered(kcenter(points, k)),
-    "kcover": lambda points, k, dim: _renumbered(kcover_iterated(points, k, 0.0)),
+    "kcover": lambda points, k, dim: _renumbered(kcover_iterated(points, k)),
     "kmeans": lambda points, k, dim: kmeans(points, sample_pivots(points, k), dim),
 }
 

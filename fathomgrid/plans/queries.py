@@ -232,14 +232,38 @@ def kcenter_bucketed(spark, d):
     return V.kcenter_bucketed(_parts(spark, d), 3, n_buckets=4, by=F.col("id")).select("id")
 
 
-@query()
+def _farthest_rounds(name: str, source: str, k: int) -> str:
+    """Farthest-first centers (b, id, x, y, w) of each bucket b of source (b, id, x, y, w), one a step, with their weights."""
+    at = "first_value(x) over o as fx, first_value(y) over o as fy, first_value(id) over o as fid"
+    gap = "sqrt((x - fx) * (x - fx) + (y - fy) * (y - fy))"
+    start = f"select 0 as step, b, id, x, y, w, {gap} as gap, fid as near from (select *, {at} from ({source}) window o as (partition by b order by id))"
+    step = f"select step + 1, b, id, x, y, w, least(gap, d), case when d < gap then fid else near end from (select *, {gap} as d from (select *, {at}, max(gap) over (partition by b) as far from {name}_steps where step < {k - 1} window o as (partition by b order by gap desc, id))) where far > 0"
+    last = f"select b, near, sum(w) as w from (select * from {name}_steps qualify step = max(step) over (partition by b)) group by b, near"
+    return f"{name}_steps as ({start} union all {step}), {name} as (select l.b, pts.id, pts.x, pts.y, l.w from ({last}) l join pts on pts.id = l.near)"
+
+
+def _centers(k: int) -> str:
+    """centers (id, x, y, w) as kcenter by id: buckets of the row limit first if there are too many points for one."""
+    full = f"(select case when count(*) > {V.BUCKET_ROWS} then cast(ceil(count(*) / {V.BUCKET_ROWS}.0) as bigint) else 0 end as nb from pts)"
+    first = f"select id % nb as b, id, x, y, 1.0::double as w from pts, {full} where nb > 0"
+    rest = f"select 0 as b, id, x, y, w from first_round union all select 0, id, x, y, 1.0::double from pts, {full} where nb = 0"
+    return f"{PTS}, {_farthest_rounds('first_round', first, k)}, {_farthest_rounds('centers', rest, k)}"
+
+
+@query(f"with recursive {_centers(25)} select id, w as weight from centers")
 def kcenter_rounds(spark, d):
-    return V.kcenter(_parts(spark, d), 20, extra=5).select("id", "weight")
+    return V.kcenter(_parts(spark, d), 20, extra=5, by=F.col("id")).select("id", "weight")
 
 
-@query()
+COVERED = f"""{_centers(70)}, cover as (select 0 as step, id, x, y, w, true as live, false as chosen from centers union all
+select c.step + 1, c.id, c.x, c.y, c.w, c.live and {_d(a='c', b='best')} > 44, c.chosen or c.id = best.id
+from cover c, (select a.id, a.x, a.y, sum(b.w) as total from cover a join cover b on {_d()} <= 20 where b.live and not a.chosen group by a.id, a.x, a.y order by total desc, a.id limit 1) best
+where best.total > 5 and c.step < 100)"""
+
+
+@query(f"with recursive {COVERED} select id, case when chosen then 'pivot' else 'outlier' end as kind from (select * from cover qualify step = max(step) over ()) where chosen or live")
 def cover_outliers(spark, d):
-    pivots, outliers = V.cover_with_outliers(V.kcenter(_parts(spark, d), 50, extra=20), 1, 20.0)
+    pivots, outliers = V.cover_with_outliers(V.kcenter(_parts(spark, d), 50, extra=20, by=F.col("id")), 1, 4.0)
     rows = [(r[0], kind) for kind, found in (("pivot", pivots), ("outlier", outliers)) for r in found]
     return spark.createDataFrame(rows, "id long, kind string")
 
@@ -254,14 +278,40 @@ def weighted_cover_step(spark, d):
     return S.weighted_cover_step(_parts(spark, d).withColumn("weight", F.col("v")[0]), 4.0, DIM)
 
 
+#: The side of a square as large as the area of the parts: some 50 sizes by 1,200 prices.
+PART_DOMAIN = 250.0
+
+
+def _kcover(source: str, k: int, factor: float, box: bool) -> str:
+    """Steps of the greedy cover of each bucket b of source (b, id, x, y, w): own is the center of a point, at (ox, oy)."""
+    side = f"pow(pow({PART_DOMAIN}, 2) / size, 0.5) * {factor}"
+    near = "abs(a.x - c.x) <= a.r and abs(a.y - c.y) <= a.r" if box else "sqrt((a.x - c.x) * (a.x - c.x) + (a.y - c.y) * (a.y - c.y)) < a.r"
+    held = "abs(ox - bx) <= r and abs(oy - by_) <= r" if box else "sqrt((ox - bx) * (ox - bx) + (oy - by_) * (oy - by_)) < r"
+    start = f"select 0 as step, b, id, x, y, w, id as own, x as ox, y as oy, size, {side} as r from (select *, count(*) over (partition by b) as size from ({source}))"
+    counts = f"select a.b, a.id, a.x, a.y, a.own, least(count(*) - 1, any_value(a.size) - {k}) as gain from steps a join steps c on a.b = c.b and c.id = c.own and {near} where a.size > {k} group by a.b, a.id, a.x, a.y, a.own"
+    best = f"select b, id as bid, x as bx, y as by_, own as bown from ({counts}) where gain > 0 qualify row_number() over (partition by b order by gain desc, id) = 1"
+    merged = f"select s.*, bid, bid is not null and (own = bown or {held}) as moves, bx, by_ from steps s left join ({best}) t on s.b = t.b where s.size > {k}"
+    moved = "select step + 1 as step, b, id, x, y, w, case when moves then bid else own end as own, case when moves then bx else ox end as ox, case when moves then by_ else oy end as oy, r, bid from moved"
+    step = f"select step, b, id, x, y, w, own, ox, oy, size, case when bid is null then r * 2 else {side} end from (select *, count(*) filter (own = id) over (partition by b) as size from ({moved.replace('from moved', 'from (' + merged + ')')}))"
+    return f"steps as ({start} union all {step}), covered as (select b, own as id, sum(w) as weight from (select * from steps qualify step = max(step) over (partition by b)) group by b, own)"
+
+
+BUCKETED_COVER = _kcover("select id % 40 as b, id, x, y, 1.0::double as w from pts", 5, 0.2, False)
+
+
+@query(f"with recursive {PTS}, {BUCKETED_COVER} select id, weight from covered")
+def kcover_bucketed(spark, d):
+    return V.kcover(_parts(spark, d), 5, PART_DOMAIN, n_buckets=40, by=F.col("id")).select("id", "weight")
+
+
 @query()
 def kcover_full(spark, d):
-    return V.kcover(_parts(spark, d), 10, 20.0, n_buckets=1).select("id")
+    return V.kcover_iterated(_parts(spark, d), 10, PART_DOMAIN, "ball").select("id", "weight")
 
 
 @query()
 def kcover_iterated(spark, d):
-    return V.kcover_iterated(_parts(spark, d), 20, 10.0, every=2, bucket_rows=500).select("id")
+    return V.kcover_iterated(_parts(spark, d), 20, PART_DOMAIN, every=2, bucket_rows=500).select("id", "weight")
 
 
 @query(f"with {PTS} select id from pts p where not exists (select 1 from pts o where o.id % 500 = 0 and {_d(a='p', b='o')} <= 20)")
@@ -283,6 +333,15 @@ def grid_representatives(spark, d):
     return S.grid_representatives(_parts(spark, d), DIM, 10.0, 1000, 3).select("cell", "block", "n", "id", *_r("m0", "m1"))
 
 
+#: A cell is 10 sizes by 10 prices; all points of a cell are one mean.
+CELL_MEANS = f"{GRID}, means as (select max(id) as id, avg(x) as x, avg(y) as y, cast(count(*) as double) as w from cel group by cell)"
+
+
+@query(f"with recursive {CELL_MEANS}, {_kcover('select id % 8 as b, * from means', 8, 0.5, True)} select id, weight from covered")
+def kcover_grid(spark, d):
+    return V.kcover_of_grid(_parts(spark, d), 8, DIM, 10.0, 1000, PART_DOMAIN, 1 << 62, n_buckets=8, by=F.col("id")).select("id", "weight")
+
+
 @query(f"with {PTS} select id from pts where id % 10 = 0")
 def systematic_sample(spark, d):
     return V.systematic_sample(_parts(spark, d), 10).select("id")

@@ -111,33 +111,79 @@ def test_pivot_selection(spark):
     assert len(centers) == 3 and any(r["id"] == 120 for r in centers) and sum(r["weight"] for r in centers) == 121
     pivots, outliers = V.cover_with_outliers(V.kcenter(p, 8, extra=4), 2, 2.0)
     assert [o[0] for o in outliers] == [120] and len(pivots) == 2
-    assert V.kcover(p, 5, 1.0, n_buckets=1).count() <= 5
-    assert V.kcover_iterated(p, 4, 1.0, bucket_rows=30).count() <= 4
+    assert V.kcover(p, 5, 600.0, n_buckets=1).agg(F.sum("weight")).first()[0] == 121
+    rounds = V.kcover_iterated(p, 4, bucket_rows=30).collect()
+    assert len(rounds) <= 4 and sum(r["weight"] for r in rounds) == 121
+    with pytest.raises(ValueError):
+        V.kcover_iterated(p, 20, bucket_rows=30)
+    with pytest.raises(ValueError):
+        V.kcover(p, 5, 0.0)
     for name in V.STRATEGIES:
         assert 1 <= V.select_pivots(p, 4, 2, name).count() <= 4
     with pytest.raises(ValueError):
         V.select_pivots(p, 4, 2, "nope")
 
 
-def greedy_cover(points, k, radius):
-    """Ids of the centers by counting every ball anew in every step."""
-    left = set(points)
-    while len(left) > k:
-        balls = {i: {j for j in left if math.dist(points[i], points[j]) < radius} for i in sorted(points)}
-        best = max(balls, key=lambda i: len(balls[i]))
-        if len(balls[best]) <= 1:
+def greedy_cover(points, k, domain, factor, box):
+    """Center of every point, counting every ball or box anew in every step."""
+    side = lambda m: (domain**2 / m) ** 0.5 * factor
+    inside = lambda p, q, r: max(abs(p[0] - q[0]), abs(p[1] - q[1])) <= r if box else math.dist(p, q) < r
+    center = {i: i for i in points}
+    radius = side(len(points))
+    while len(left := set(center.values())) > k:
+        held = {i: {j for j in left if inside(points[i], points[j], radius)} for i in sorted(points)}
+        gain = {i: min(len(h) - 1, len(left) - k) for i, h in held.items()}
+        best = max(gain, key=gain.get)
+        if gain[best] < 1:
             radius *= 2
             continue
-        left = left - balls[best] | {best}
-    return left
-
-
-def test_kcover_covers_all_points(spark, tmp_path):
+        gone = held[best] | {center[best]}
+        center = {i: best if c in gone else c for i, c in center.items()}
+        radius = side(len(set(center.values())))
+    return center
+
+
+@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("cover,factor", [("ball", 0.2), ("ball", 1.0), ("box", 0.5)])
+def test_cover_steps_against_brute_force(seed, cover, factor):
+    g = np.random.default_rng(seed)
+    n, k = int(g.integers(3, 90)), int(g.integers(1, 9))
+    v, ids = g.integers(0, 40, (n, 2)).astype(float), g.permutation(n) * 3
+    want = greedy_cover({int(i): tuple(p) for i, p in zip(ids, v)}, k, 50.0, factor, cover == "box")
+    rows, to = V.cover_greedily(ids, v, k, 50.0, factor, cover == "box")
+    assert {int(i): int(ids[t]) for i, t in zip(ids, to)} == want and set(ids[rows].tolist()) == set(want.values())
+
+
+def test_cover_of_points_without_distances_ends():
+    rows, _ = V.cover_greedily(np.arange(4), np.array([[np.nan, 1.0], [0, 0], [0, 0], [np.nan, np.nan]]), 1, 10.0, 0.5, True)
+    assert rows.tolist() == [0, 1, 3]
+
+
+def test_weighted_cover_against_brute_force(spark):
+    g = np.random.default_rng(8)
+    for _ in range(4):
+        v, w = g.integers(0, 60, (50, 2)).astype(float), g.integers(1, 6, 50).astype(float)
+        left, chosen = set(range(50)), []
+        while len(chosen) < 4:
+            total = {i: sum(w[j] for j in left if math.dist(v[i], v[j]) <= 10) for i in range(50) if i not in chosen}
+            best = max(total, key=total.get)
+            if total[best] <= 5:
+                break
+            chosen.append(best)
+            left -= {j for j in left if math.dist(v[best], v[j]) <= 22}
+        pivots, outliers = V.cover_with_outliers(spark.createDataFrame([(i, v[i].tolist(), float(w[i])) for i in range(50)], "id long, v array<double>, weight double"), 1, 2.0, max_pivots=4)
+        assert [p[0] for p in pivots] == chosen and [o[0] for o in outliers] == sorted(left)
+
+
+def test_rounds_of_cover_read_all_points(spark, tmp_path):
     g = np.random.default_rng(11)
     points = {i: (float(x), float(y)) for i, x, y in zip(range(1470, 1530), g.integers(1, 50, 60), g.integers(900, 1400, 60))}
     spark.createDataFrame([(i, int(x), y) for i, (x, y) in points.items()], "p_partkey long, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
-    got = {r["id"] for r in registry.queries()["kcover_full"](spark, str(tmp_path)).collect()}
-    assert got == greedy_cover(points, 10, 20.0) and max(got) > 1500
+    got = {r["id"]: r["weight"] for r in registry.queries()["kcover_full"](spark, str(tmp_path)).collect()}
+    want = list(greedy_cover(points, 10, 250.0, 1.0, False).values())
+    assert got == {c: want.count(c) for c in want}
+    rounds = V.kcover_iterated(frame(spark, points.values()), 3, 250.0, "box", bucket_rows=8).collect()
+    assert len(rounds) <= 3 and sum(r["weight"] for r in rounds) == 60
 
 
 def test_spatial_against_brute_force(spark):
