@@ -94,3 +94,10 @@ def route(assigned: DataFrame, bounds: DataFrame) -> DataFrame:
     wanted = F.filter(F.coalesce("targets", F.array().cast("array<struct<dst_cell:bigint,lb:double>>")), lambda t: F.col("dist_to_pivot") >= t["lb"] * (1 - SLACK))
     cells = F.concat(F.array(F.struct(F.col("cell_id").alias("c"), F.lit(True).alias("core"))), F.transform(wanted, lambda t: F.struct(t["dst_cell"].alias("c"), F.lit(False).alias("core"))))
     return joined.select(F.explode(cells).alias("to"), "id", "v", "dist_to_pivot").select(F.col("to.c").alias("cell_id"), F.col("to.core").alias("is_core"), "id", "v", "dist_to_pivot")
+
+
+def replication(routed: DataFrame) -> DataFrame:
+    """One row (n_core, n_support, most_support): rows of route by kind, and the support rows of the cell with the most."""
+    cells = routed.groupBy("cell_id").agg(F.count_if("is_core").alias("core"), F.count_if(~F.col("is_core")).alias("support"))
+    total = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    return cells.agg(total(F.sum("core")).alias("n_core"), total(F.sum("support")).alias("n_support"), total(F.max("support")).alias("most_support"))

@@ -6,6 +6,8 @@ Pivots are the parts whose key is a multiple of 100, numbered by their key.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from ..operators import partition as P
 from ..operators import pivots as V
 from ..operators import spatial as S
 from ..sources import points as R
-from ..storage import shared_table
+from ..storage import shared_dir, shared_table
 
 NEIGHBOURS, FAR, DIM = 6, 100.0, 2
 QUERIES: dict = {}
@@ -377,7 +379,8 @@ def nearest_n(spark, d):
 @query(f"with {PTS}, t as (select x, y from pts where id = 7) select id from pts join t using (x, y)")
 def point_lookup(spark, d):
     p = _parts(spark, d)
-    return p.join(F.broadcast(p.where("id = 7").select("v")), "v").select("id")
+    target = p.where("id = 7").first()
+    return (S.point_lookup(p, target["v"]) if target else p.limit(0)).select("id")
 
 
 @query(f"with {PTS} select min(id) as id from pts group by x, y")
@@ -394,3 +397,72 @@ def delete_points(spark, d):
 @query(r"select word, count(*) as n from (select unnest(string_split_regex(text, '[\x20\x09-\x0D]+')) as word from documents) where word <> '' group by word")
 def word_count(spark, d):
     return S.word_count(_read(spark, d, "documents"))
+
+
+CONVERGED = f"""{PTS}, lloyd as (select 0 as step, id as cell_id, x, y, 1e300::double as shift from pts where id <= 4 union all
+select step + 1, cell_id, nx, ny, sum((nx - x) * (nx - x) + (ny - y) * (ny - y)) over () from (select c.step, c.cell_id, c.x, c.y, coalesce(m.x, c.x) as nx, coalesce(m.y, c.y) as ny
+from lloyd c left join (select cell_id, avg(x) as x, avg(y) as y from (select p.x, p.y, o.cell_id, row_number() over (partition by p.id order by {_d(a='p', b='o')}, o.cell_id) as rn from pts p, lloyd o) where rn = 1 group by cell_id) m using (cell_id) where c.shift >= 0.01 and c.step < 20))"""
+
+
+@query(f"with recursive {CONVERGED} select cell_id, round(x, 6) as x, round(y, 6) as y from lloyd qualify step = max(step) over ()")
+def kmeans_until_still(spark, d):
+    p = _parts(spark, d)
+    c = V.kmeans(p, p.where("id <= 4").select(F.col("id").alias("cell_id"), "v"), DIM)
+    return c.select("cell_id", F.round(F.col("v")[0], 6).alias("x"), F.round(F.col("v")[1], 6).alias("y"))
+
+
+@query(f"with {BOUNDS}, sup as (select dst_cell as cell_id, count(*) as n from asg join low on cell_id = src_cell where dist >= lb * (1 - 1e-9) group by dst_cell) select cast(count(*) as bigint) as n_core, cast((select coalesce(sum(n), 0) from sup) as bigint) as n_support, cast((select coalesce(max(n), 0) from sup) as bigint) as most_support from asg")
+def support_replication(spark, d):
+    return P.replication(P.route(_assigned(spark, d), P.support_bounds(*_bounds(spark, d))))
+
+
+def _as_file(lines: DataFrame) -> str:
+    """The folder that the lines (value) were written to."""
+    path = f"{shared_dir(lines.sparkSession)}/{uuid.uuid4().hex}"
+    lines.write.text(path)
+    return path
+
+
+@query(f"with {PTS} select id, x, y from pts")
+def points_from_text(spark, d):
+    return R.read_text(spark, _as_file(R.as_lines(_parts(spark, d))), DIM).select("id", F.col("v")[0].alias("x"), F.col("v")[1].alias("y"))
+
+
+@query(f"with {PTS}, {PIV} select cell_id, x, y from piv")
+def pivots_from_text(spark, d):
+    lines = R.as_lines(_pivots(_parts(spark, d)).withColumnRenamed("cell_id", "id"))
+    return R.read_pivots(spark, _as_file(lines), DIM).select("cell_id", F.col("v")[0].alias("x"), F.col("v")[1].alias("y"))
+
+
+@query(f"with {PTS}, {PIV} select cast(row_number() over (order by cell_id) - 1 as bigint) as cell_id, x, y from piv")
+def pivots_numbered(spark, d):
+    p = _pivots(_parts(spark, d)).withColumnRenamed("cell_id", "id")
+    return R.numbered_pivots(p).select("cell_id", F.col("v")[0].alias("x"), F.col("v")[1].alias("y"))
+
+
+@query("select cast(n_nationkey as bigint) as group_id, cast(i as integer) as pos, n_nationkey * 10 + i as cell_id from nation, range(3) r(i)")
+def pivot_groups(spark, d):
+    key = F.col("n_nationkey").cast("long")
+    return R.read_groups(spark, _as_file(_read(spark, d, "nation").select(F.concat_ws(" ", key, key * 10, key * 10 + 1, key * 10 + 2).alias("value"))))
+
+
+@query("select concat(p_partkey, ',', p_size) as record, cast(p_partkey % 17 as integer) as weight from part")
+def weighted_records(spark, d):
+    p = _read(spark, d, "part")
+    return R.weighted(p.select(F.concat_ws(",", "p_partkey", "p_size", F.expr("p_partkey % 17")).alias("value")))
+
+
+@query(f"with {PTS} select id, greatest(5, x - 10) as low_x, greatest(5, y - 10) as low_y, least(1000, x + 10) as high_x, least(1000, y + 10) as high_y, greatest(10, least(20, x)) as near_x, greatest(950, least(1200, y)) as near_y from pts")
+def boxes_around(spark, d):
+    v = F.col("v")
+    low, high = M.clamp_box(v, DIM, 10.0, 5.0, 1000.0)
+    near = M.closest_in_box(v, [10.0, 950.0], [20.0, 1200.0])
+    names = ("low_x", "low_y", "high_x", "high_y", "near_x", "near_y")
+    return _parts(spark, d).select("id", *(c.cast("double").alias(n) for c, n in zip((*low, *high, near[0], near[1]), names)))
+
+
+@query(f"with {PTS} select id, case when id % 2 = 0 then round(sqrt(x * x + y * y), 6) else 1.7976931348623157e308 end as dist from pts")
+def distance_of_unequal_lengths(spark, d):
+    origin = F.when(F.col("id") % 2 == 0, F.array(F.lit(0.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0)))
+    dist = M.checked("l2", F.col("v"), origin, DIM)
+    return _parts(spark, d).select("id", F.when(F.col("id") % 2 == 0, F.round(dist, 6)).otherwise(dist).alias("dist"))

@@ -20,7 +20,7 @@ def rows(df):
     return sorted(tuple(repr(round(v, 6)) if isinstance(v, float) else str(v) for v in r) for r in df.itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", ["knn_l1", "knn_pruned", "lof", "lof_embeddings", "core_support_routing", "kmeans_fixed_iters", "kcenter_bucketed", "kcenter_rounds", "cover_outliers", "kcover_bucketed", "kcover_grid", "kcover_step", "weighted_cover_step", "remove_outlier_neighbourhood", "grid_representatives", "best_pivot_set", "box_cover_count", "ball_range_count", "delete_points"])
+@pytest.mark.parametrize("name", ["knn_l1", "knn_pruned", "lof", "lof_embeddings", "core_support_routing", "kmeans_fixed_iters", "kcenter_bucketed", "kcenter_rounds", "cover_outliers", "kcover_bucketed", "kcover_grid", "kcover_step", "weighted_cover_step", "remove_outlier_neighbourhood", "grid_representatives", "best_pivot_set", "box_cover_count", "ball_range_count", "delete_points", "kmeans_until_still", "support_replication", "points_from_text", "pivots_from_text", "pivots_numbered", "pivot_groups", "weighted_records", "boxes_around", "distance_of_unequal_lengths", "point_lookup"])
 def test_query_matches_its_sql(spark, db, name):
     assert rows(registry.queries()[name](spark, DATA).toPandas()) == rows(db.sql(registry.oracle_sql()[name]).df())
 
