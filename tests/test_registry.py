@@ -10,7 +10,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def db():
     con = duckdb.connect()
-    for t in ("part", "supplier", "embeddings", "documents"):
+    for t in ("nation", "part", "supplier", "embeddings", "documents"):
         con.execute(f"create view {t} as select * from read_parquet('{DATA}/{t}.parquet')")
     return con
 
