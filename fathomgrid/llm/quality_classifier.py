@@ -5,7 +5,8 @@ max-pooled within its chunk, a small hidden layer turns a chunk into features, a
 one probability. Training is on the driver, over at most max_rows labelled rows of either class, whole texts.
 
 Results: one row per input row. A null or empty text is one chunk of padding and gets that chunk's score. Where
-there is no labelled row of one of the classes, every score is the share of class 1 (0.5 without any label).
+there is no labelled row of one of the classes, every score is the share of class 1 (0.5 without any label). Rows that
+repeat an id are scored each by its own text. A null id is never held out nor learned from. No rows give none.
 """
 
 from __future__ import annotations
@@ -128,11 +129,15 @@ def held_out(column, modulus: int, remainder: int):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, use, max_rows: int) -> tuple[list[bytes], np.ndarray]:
-    """At most max_rows labelled texts of either class, the same ones each time: those with the lowest hash of the id."""
+    """At most max_rows labelled texts of either class, the same ones each time: those with the lowest hash of the id.
+
+    Where rows repeat an id, its least text is the one; a label that repeats with both values is 1.
+    """
     ranked = labels.where(use & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("label_id"), F.col(label).alias("y")).groupBy("label_id").agg(F.max("y").alias("y"))
     pick = [ranked.where(F.col("y") == y).orderBy(F.xxhash64("label_id"), "label_id").limit(max_rows) for y in (0, 1)]
     # The labels are at most 2 * max_rows rows here, so they may be broadcast.
-    got = docs.join(F.broadcast(pick[0].union(pick[1])), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "y").toArrow().sort_by([("doc_id", "ascending")])
+    found = docs.join(F.broadcast(pick[0].union(pick[1])), F.col("doc_id") == F.col("label_id"))
+    got = found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).toArrow().sort_by([("doc_id", "ascending")])
     return raw_texts(got.column("text").combine_chunks()) if got.num_rows else [], got.column("y").to_numpy()
 
 

@@ -563,3 +563,80 @@ def test_votes_against_brute_force(spark):
     got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {(r["page_id"], r["path"]) for r in got} == {(k, best[u.split("/")[2]]) for k, u, _ in rows}
     assert html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").limit(0)).count() == 0
+
+
+def test_repeated_ids_do_not_widen_the_sample(spark):
+    docs = spark.createDataFrame([(i % 20, f"text {i}") for i in range(400)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] * 3, "doc_id long, quality int")
+    raw, y = quality_classifier.labelled_sample(docs, labels, "quality", F.lit(True), 4)
+    assert sorted(y.tolist()) == [0] * 4 + [1] * 4
+    assert all(int(t.split()[1]) % 2 == k for t, k in zip(raw, y))
+
+
+def naive_matches(lexicon, text):
+    spans = []
+    for entry, weight in [*lexicon.entries.items(), *((f"^{p}$", None) for p in lexicon.exceptions)]:
+        part = entry.strip("^$")
+        for at in range(len(text) - len(part) + 1):
+            end = at + len(part)
+            if text[at:end] == part and not (at and text[at - 1].isalnum()) and not (entry.endswith("$") and end < len(text) and text[end].isalnum()):
+                spans.append((at, end, weight))
+    free = [s for s in spans if s[2] is None]
+    return sorted(s for s in spans if s[2] is not None and not any(f[0] <= s[0] and s[1] <= f[1] for f in free))
+
+
+def test_lexicon_against_naive_matching():
+    g = random.Random(9)
+    for _ in range(200):
+        word = lambda: "".join(g.choice("ab") for _ in range(g.randrange(1, 5)))
+        entries = {"^" + word() + g.choice(["", "$"]): g.randrange(1, 5) / 2 for _ in range(g.randrange(1, 6))}
+        lexicon = toxicity.Lexicon(entries, [f"{word()} {word()}" for _ in range(2)], (1.0, 0.5, -1.0))
+        text = g.choice(["", " "]).join(word() + g.choice([" ", ".", "", "\n"]) for _ in range(g.randrange(0, 30)))
+        assert sorted(lexicon.matched(text)) == naive_matches(lexicon, text)
+        total = sum(w for _, _, w in naive_matches(lexicon, text))
+        rate = 1000 * total / max(20, text.count(" ") + 1)
+        assert lexicon.score([text.encode()])[0] == pytest.approx(1 / (1 + np.exp(-(np.log1p(total) + 0.5 * np.log1p(rate) - 1))))
+
+
+def naive_probability(p, text):
+    size, step, width = quality_classifier.CHUNK, quality_classifier.STEP, quality_classifier.WIDTH
+    means, start = [], 0
+    while True:
+        chunk = [*text[start : start + size], *[0] * (size - len(text[start : start + size]))]
+        top = np.max([p["emb"][chunk[k : k + width]].ravel() @ p["w"] for k in range(step)], 0)
+        means.append(np.tanh(np.maximum(top + p["wb"], 0) @ p["u"] + p["ub"]))
+        start += step
+        if start + width > len(text):
+            break
+    return float(1 / (1 + np.exp(-(np.mean(means, 0) @ p["o"] + p["ob"][0]))))
+
+
+def test_network_against_naive_forward_and_numeric_gradients():
+    g = np.random.default_rng(2)
+    net = quality_classifier.ByteConvNet.fresh()
+    net.p = {k: v.astype(float) for k, v in net.p.items()}
+    raw = [bytes(g.integers(1, 256, n, dtype=np.uint8)) for n in (0, 5, 8, 249, 256, 257, 700, 1100)]
+    assert net.score(raw) == pytest.approx([naive_probability(net.p, t) for t in raw], abs=1e-9)
+    y, weight = np.array([0, 1, 1, 0, 1, 0, 1, 0], np.float32), np.linspace(0.5, 1.5, 8).astype(np.float32)
+    loss = lambda: float(np.mean(-weight * np.log(np.where(y == 1, s := net.score(raw), 1 - s))))  # noqa: E731, F841
+    exact = net.gradients(raw, y, weight)
+    for name, value in net.p.items():
+        largest = np.argsort(np.abs(exact[name]).ravel())[-3:]
+        for k in largest:
+            keep, eps = value.flat[k], 1e-5
+            value.flat[k] = keep + eps
+            up = loss()
+            value.flat[k] = keep - eps
+            down = loss()
+            value.flat[k] = keep
+            assert exact[name].flat[k] == pytest.approx((up - down) / (2 * eps), rel=0.02, abs=1e-5), name
+
+
+def test_all_queries_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+    from fathomgrid.llm import queries as text_queries
+
+    for name in ("documents", "pages", "benchmark", "labels"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, f in (text_queries.QUERIES | {"pipeline": corpus_pipeline.run}).items():
+        assert f(spark, str(tmp_path)).count() == 0, name
