@@ -13,6 +13,7 @@ from test_registry import DATA, rows
 WITHOUT_PAIRS = [
     "voronoi_assign",
     "cell_global_stats",
+    "cell_summary",
 ]
 
 
