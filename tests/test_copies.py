@@ -14,6 +14,7 @@ WITHOUT_PAIRS = [
     "voronoi_assign",
     "cell_global_stats",
     "cell_summary",
+    "kdist_upper_bound",
 ]
 
 
