@@ -15,6 +15,7 @@ WITHOUT_PAIRS = [
     "cell_global_stats",
     "cell_summary",
     "kdist_upper_bound",
+    "core_support_routing",
 ]
 
 
