@@ -16,6 +16,7 @@ WITHOUT_PAIRS = [
     "cell_summary",
     "kdist_upper_bound",
     "core_support_routing",
+    "support_lower_bound",
 ]
 
 
