@@ -17,6 +17,7 @@ WITHOUT_PAIRS = [
     "kdist_upper_bound",
     "core_support_routing",
     "support_lower_bound",
+    "support_replication",
 ]
 
 
