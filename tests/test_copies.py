@@ -18,6 +18,7 @@ WITHOUT_PAIRS = [
     "core_support_routing",
     "support_lower_bound",
     "support_replication",
+    "knn_l1",
 ]
 
 
