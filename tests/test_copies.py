@@ -19,6 +19,7 @@ WITHOUT_PAIRS = [
     "support_lower_bound",
     "support_replication",
     "knn_l1",
+    "knn_pruned",
 ]
 
 
