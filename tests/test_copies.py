@@ -20,6 +20,7 @@ WITHOUT_PAIRS = [
     "support_replication",
     "knn_l1",
     "knn_pruned",
+    "knn_l2",
 ]
 
 
