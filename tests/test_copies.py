@@ -21,6 +21,7 @@ WITHOUT_PAIRS = [
     "knn_l1",
     "knn_pruned",
     "knn_l2",
+    "knn_pivot",
 ]
 
 
