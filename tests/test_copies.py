@@ -22,6 +22,7 @@ WITHOUT_PAIRS = [
     "knn_pruned",
     "knn_l2",
     "knn_pivot",
+    "lof_pivot",
 ]
 
 
