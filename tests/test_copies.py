@@ -23,6 +23,7 @@ WITHOUT_PAIRS = [
     "knn_l2",
     "knn_pivot",
     "lof_pivot",
+    "kdist",
 ]
 
 
