@@ -24,6 +24,7 @@ WITHOUT_PAIRS = [
     "knn_pivot",
     "lof_pivot",
     "kdist",
+    "lof",
 ]
 
 
