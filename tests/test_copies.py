@@ -25,6 +25,7 @@ WITHOUT_PAIRS = [
     "lof_pivot",
     "kdist",
     "lof",
+    "lof_pruned",
 ]
 
 
