@@ -26,6 +26,7 @@ WITHOUT_PAIRS = [
     "kdist",
     "lof",
     "lof_pruned",
+    "lrd",
 ]
 
 
