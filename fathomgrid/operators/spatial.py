@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,20 +27,64 @@ def radius_pairs(points: DataFrame, centers: DataFrame, radius: float, dim: int,
     return joined.where(F.col("dist") <= radius if closed else F.col("dist") < radius)
 
 
+def weights_near(places: DataFrame, centers: DataFrame, radius: float, dim: int, metric: str = "l2", closed: bool = False, block: int = 8_192) -> DataFrame:
+    """(v, total): for each distinct v of centers, the weight of the places (v, w) within the radius, where there are any.
+
+    A center belongs to one grid cell of the radius over the first two coordinates, and a place goes to the neighbouring
+    cells too. The rows of a cell are dealt into blocks, so that no task grows with the densest cell, and a task counts
+    in vectorised passes: no pair becomes a row. metric must not be below the difference in any coordinate.
+    """
+    grid = [f"g{k}" for k in range(min(dim, 2))]
+    # A little wider than the radius, so that rounding cannot put two cells between points at the radius.
+    cells = [F.floor(F.col("v")[k] / F.lit(radius * 1.0000001)).cast("long").alias(g) for k, g in enumerate(grid)]
+    own = centers.select("v").distinct().select("v", *cells)
+    near = places.select("v", F.col("w").cast("double").alias("w"), *cells)
+    for g in grid:
+        near = near.withColumn(g, F.explode(F.array(F.col(g) - 1, F.col(g), F.col(g) + 1)))
+    blocks = lambda rows, name: rows.groupBy(*grid).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    sizes = blocks(own, "own_blocks").join(blocks(near, "near_blocks"), grid)
+    dealt = lambda name: F.pmod(F.xxhash64("v"), F.col(name)).cast("int")
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    left = own.join(sizes, grid).select(*grid, dealt("own_blocks").alias("x"), every("near_blocks").alias("y"), "v", F.lit(None).cast("double").alias("w"))
+    right = near.join(sizes, grid).select(*grid, every("own_blocks").alias("x"), dealt("near_blocks").alias("y"), "v", "w")
+
+    def one(table: pa.Table) -> pa.Table:
+        center = table.column("w").combine_chunks().is_null().to_numpy(zero_copy_only=False)
+        v = np.asarray(table.column("v").combine_chunks().flatten(), float).reshape(len(center), -1)
+        w, own, near = table.column("w").to_numpy()[~center], v[center], v[~center]
+        rows, total, hits = M.rows_of(len(near), v.shape[1]), np.zeros(len(own)), np.zeros(len(own), bool)
+        for at in range(0, len(own) if len(near) else 0, rows):
+            d = M.table(metric, own[at : at + rows], near)
+            hit = d <= radius if closed else d < radius
+            total[at : at + rows], hits[at : at + rows] = hit.astype(float) @ w, hit.any(1)
+        own = pa.ListArray.from_arrays(np.arange(0, hits.sum() * v.shape[1] + 1, v.shape[1], dtype=np.int32), own[hits].ravel())
+        return pa.table({"v": own, "total": pa.array(total[hits])})
+
+    return left.unionAll(right).groupBy(*grid, "x", "y").applyInArrow(one, "v array<double>, total double").groupBy("v").agg(F.sum("total").alias("total"))
+
+
+def _counts(points: DataFrame, centers: DataFrame, radius: float, dim: int, metric: str, closed: bool) -> DataFrame:
+    found = weights_near(points.groupBy("v").agg(F.count("*").alias("w")), centers, radius, dim, metric, closed)
+    return centers.select(F.col("id").alias("center_id"), "v").join(found, "v").select("center_id", F.col("total").cast("long").alias("n"))
+
+
 def ball_counts(points: DataFrame, centers: DataFrame, radius: float, dim: int, metric: str = "l2") -> DataFrame:
     """(center_id, n) in the open ball."""
-    return radius_pairs(points, centers, radius, dim, metric).groupBy("center_id").agg(F.count("*").alias("n"))
+    return _counts(points, centers, radius, dim, metric, False)
 
 
 def cover_step(points: DataFrame, radius: float, dim: int) -> DataFrame:
     """One row (center_id, n): the point whose open ball holds the most points, lowest id among equals."""
-    return ball_counts(points, points, radius, dim).orderBy(F.desc("n"), "center_id").limit(1)
+    places = points.groupBy("v").agg(F.min("id").alias("center_id"), F.count("*").alias("w"))
+    found = weights_near(places, places, radius, dim).join(places, "v")
+    return found.select("center_id", F.col("total").cast("long").alias("n")).orderBy(F.desc("n"), "center_id").limit(1)
 
 
 def weighted_cover_step(centers: DataFrame, g: float, dim: int, near: float = 5.0) -> DataFrame:
     """One row (center_id, weight): the center with the most weight within near * g; centers are (id, v, weight)."""
-    pairs = radius_pairs(centers, centers, near * g, dim, closed=True).join(centers.select("id", "weight"), "id")
-    return pairs.groupBy("center_id").agg(F.sum("weight").alias("weight")).orderBy(F.desc("weight"), "center_id").limit(1)
+    places = centers.groupBy("v").agg(F.min("id").alias("center_id"), F.coalesce(F.sum("weight"), F.lit(0)).alias("w"))
+    found = weights_near(places, places, near * g, dim, closed=True).join(places.select("v", "center_id"), "v")
+    return found.select("center_id", F.col("total").cast(places.schema["w"].dataType).alias("weight")).orderBy(F.desc("weight"), "center_id").limit(1)
 
 
 def box_range(points: DataFrame, low: list[float], high: list[float]) -> DataFrame:
@@ -51,13 +97,10 @@ def box_range(points: DataFrame, low: list[float], high: list[float]) -> DataFra
 
 def box_counts(points: DataFrame, centers: DataFrame, radius: float, dim: int) -> DataFrame:
     """(center_id, n) in the closed box of the radius around each center."""
-    far = radius_pairs(points, centers, radius * 1.0000001, dim, "linf" if "linf" in M._METRICS else _linf(), closed=True)
-    return far.where(F.col("dist") <= radius).groupBy("center_id").agg(F.count("*").alias("n"))
+    return _counts(points, centers, radius, dim, "linf" if "linf" in M._METRICS else _linf(), True)
 
 
 def _linf() -> str:
-    import numpy as np
-
     def column(a, b, dim):
         if dim == 1:
             return F.abs(a[0] - b[0])

@@ -8,6 +8,7 @@ from fathomgrid import registry
 from fathomgrid.operators import knn as K
 from fathomgrid.operators import partition as P
 from fathomgrid.operators import pivots as V
+from fathomgrid.operators import spatial as S
 from fathomgrid.plans import queries as Q
 from test_registry import DATA, rows
 
@@ -68,3 +69,24 @@ def test_rounds_of_centers_match_sql_beyond_one_bucket(spark, db, copies, monkey
         monkeypatch.setattr(V, "ONE_TASK", limit)
         for name, sql in wanted.items():
             assert rows(registry.queries()[name](spark, copies).toPandas()) == rows(db.sql(sql).df())
+
+
+COUNTED = [
+    "box_cover_count",
+]
+
+
+@pytest.mark.parametrize("name", COUNTED)
+def test_counts_match_sql_without_pairs(spark, db, copies, monkeypatch, name):
+    def refuse(*_, **__):
+        raise AssertionError("a row for each pair")
+
+    monkeypatch.setattr(S, "radius_pairs", refuse)
+    assert rows(registry.queries()[name](spark, copies).toPandas()) == rows(db.sql(registry.oracle_sql()[name]).df())
+
+
+def test_blocks_of_a_cell_count_all(spark):
+    points = spark.range(300).selectExpr("id", "array(id % 20 * 1.0D, id % 7 * 1.0D) as v")
+    places = points.groupBy("v").agg(F.count("*").alias("w"))
+    whole, blocks = (S.weights_near(places, points, 30.0, 2, block=b).toPandas() for b in (8_192, 16))
+    assert len(whole) == 140 and set(whole["total"]) == {300.0} and rows(whole.assign(v=whole["v"].map(str))) == rows(blocks.assign(v=blocks["v"].map(str)))
