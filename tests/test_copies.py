@@ -74,6 +74,7 @@ def test_rounds_of_centers_match_sql_beyond_one_bucket(spark, db, copies, monkey
 COUNTED = [
     "box_cover_count",
     "ball_range_count",
+    "kcover_step",
 ]
 
 
