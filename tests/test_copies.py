@@ -75,6 +75,7 @@ COUNTED = [
     "box_cover_count",
     "ball_range_count",
     "kcover_step",
+    "weighted_cover_step",
 ]
 
 
