@@ -27,12 +27,89 @@ def radius_pairs(points: DataFrame, centers: DataFrame, radius: float, dim: int,
     return joined.where(F.col("dist") <= radius if closed else F.col("dist") < radius)
 
 
-def weights_near(places: DataFrame, centers: DataFrame, radius: float, dim: int, metric: str = "l2", closed: bool = False, block: int = 8_192) -> DataFrame:
+def _totals(own: np.ndarray, total: np.ndarray, hits: np.ndarray) -> pa.Table:
+    lists = pa.ListArray.from_arrays(np.arange(0, hits.sum() * own.shape[1] + 1, own.shape[1], dtype=np.int32), own[hits].ravel())
+    return pa.table({"v": lists, "total": pa.array(total[hits])})
+
+
+def _strips_do(metric: str, dim: int, radius: float, w: np.ndarray) -> bool:
+    """Whether _in_strips is exact: sums of whole weights below 2**53 do not depend on their order."""
+    return metric.lower() in ("l1", "l2", "linf") and dim <= 2 and bool(np.isfinite(radius)) and bool((w == np.floor(w)).all()) and np.abs(w).sum() < 2**53
+
+
+def _in_strips(own: np.ndarray, near: np.ndarray, w: np.ndarray, radius: float, metric: str, closed: bool, most: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """(total, hits) of own: the weight of the vectors of near within the radius, and whether there are any.
+
+    near is cut into at most `most` strips along the coordinate with fewer values, each ordered by the other one. What
+    is surely within the radius of a center is a run of a strip, weighed by running sums; only vectors about as far as
+    the radius are compared one by one. Few values of a coordinate leave hardly any of those.
+    """
+    total, hits = np.zeros(len(own)), np.zeros(len(own), bool)
+    fine = np.isfinite(near).all(1)
+    near, w, live = near[fine], w[fine], np.flatnonzero(np.isfinite(own).all(1))
+    if not len(near) or not len(live):
+        return total, hits
+    if near.shape[1] == 1:
+        flat = lambda a: np.column_stack((np.zeros(len(a)), a))
+        own, near = flat(own), flat(near)
+    values = [np.unique(near[:, k]) for k in (0, 1)]
+    across = int(len(values[1]) < len(values[0]))
+    along, values = 1 - across, values[across]
+    starts = values if len(values) <= most else np.unique(np.quantile(near[:, across], np.arange(most) / most))
+    strip = np.searchsorted(starts, near[:, across], "right") - 1
+    order = np.lexsort((near[:, along], strip))
+    near, w, strip = near[order], w[order], strip[order]
+    ends = np.searchsorted(strip, np.arange(len(starts) + 1))
+    live = live[np.argsort(own[live, along], kind="stable")]
+    # Bounds are a little wider or narrower than the radius, so that rounding cannot decide for them.
+    slack = 1e-9 * (radius + np.abs(near).max())
+    half = {"l1": lambda d: radius - d, "l2": lambda d: np.sqrt(np.maximum(radius - d, 0) * (radius + d)), "linf": lambda d: np.full(len(d), radius)}[metric]
+    for low, high in zip(ends[:-1], ends[1:]):
+        if low == high:
+            continue
+        x, y, sums = near[low:high, across], near[low:high, along], np.concatenate(([0.0], np.cumsum(w[low:high])))
+        c = own[live, across]
+        least, widest = np.maximum(np.maximum(x.min() - c, c - x.max()) - slack, 0), np.maximum(c - x.min(), x.max() - c) + slack
+        some = np.flatnonzero(least <= radius)
+        who, least, widest = live[some], least[some], widest[some]
+        at, outer = own[who, along], half(least) + slack
+        first, last = np.searchsorted(y, at - outer, "left"), np.searchsorted(y, at + outer, "right")
+        inner = np.where(widest < radius, half(widest) - slack, -1.0)
+        begin = np.where(inner > 0, np.searchsorted(y, at - inner, "left"), last)
+        end = np.maximum(begin, np.where(inner > 0, np.searchsorted(y, at + inner, "right"), last))
+        total[who] += sums[end] - sums[begin]
+        hits[who] |= end > begin
+        for a, b in ((first, begin), (end, last)):
+            n = np.maximum(b - a, 0)
+            todo = np.flatnonzero(n)
+            ahead = np.cumsum(n[todo])
+            for chunk in np.split(todo, np.searchsorted(ahead, np.arange(1_000_000, ahead[-1], 1_000_000))) if len(todo) else ():
+                if not len(chunk):
+                    continue
+                m = n[chunk]
+                mine = np.repeat(np.arange(len(chunk)), m)
+                other = np.arange(len(mine)) + np.repeat(low + a[chunk] - (np.cumsum(m) - m), m)
+                d = _gaps(metric, own[who[chunk]][mine], near[other])
+                hit = d <= radius if closed else d < radius
+                total[who[chunk]] += np.bincount(mine[hit], w[other[hit]], len(chunk))
+                hits[who[chunk]] |= np.bincount(mine[hit], minlength=len(chunk)) > 0
+    return total, hits
+
+
+def _gaps(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of vectors of two coordinates, row by row, as M.table adds them."""
+    x, y = a[:, 0] - b[:, 0], a[:, 1] - b[:, 1]
+    return np.sqrt(x * x + y * y) if metric == "l2" else np.abs(x) + np.abs(y) if metric == "l1" else np.maximum(np.abs(x), np.abs(y))
+
+
+def weights_near(places: DataFrame, centers: DataFrame, radius: float, dim: int, metric: str = "l2", closed: bool = False, block: int = 131_072) -> DataFrame:
     """(v, total): for each distinct v of centers, the weight of the places (v, w) within the radius, where there are any.
 
     A center belongs to one grid cell of the radius over the first two coordinates, and a place goes to the neighbouring
-    cells too. The rows of a cell are dealt into blocks, so that no task grows with the densest cell, and a task counts
-    in vectorised passes: no pair becomes a row. metric must not be below the difference in any coordinate.
+    cells too. The rows of a cell are dealt into blocks, so that no task grows with the densest cell, and a task weighs
+    strips of places (see _in_strips) or, in more than two coordinates, with a metric of its own or with weights that
+    doubles do not add exactly, all pairs in vectorised passes: no pair becomes a row. metric must not be below the
+    difference in any coordinate.
     """
     grid = [f"g{k}" for k in range(min(dim, 2))]
     # A little wider than the radius, so that rounding cannot put two cells between points at the radius.
@@ -52,13 +129,15 @@ def weights_near(places: DataFrame, centers: DataFrame, radius: float, dim: int,
         center = table.column("w").combine_chunks().is_null().to_numpy(zero_copy_only=False)
         v = np.asarray(table.column("v").combine_chunks().flatten(), float).reshape(len(center), -1)
         w, own, near = table.column("w").to_numpy()[~center], v[center], v[~center]
+        if _strips_do(metric, v.shape[1], radius, w):
+            total, hits = _in_strips(own, near, w, radius, metric.lower(), closed)
+            return _totals(own, total, hits)
         rows, total, hits = M.rows_of(len(near), v.shape[1]), np.zeros(len(own)), np.zeros(len(own), bool)
         for at in range(0, len(own) if len(near) else 0, rows):
             d = M.table(metric, own[at : at + rows], near)
             hit = d <= radius if closed else d < radius
             total[at : at + rows], hits[at : at + rows] = hit.astype(float) @ w, hit.any(1)
-        own = pa.ListArray.from_arrays(np.arange(0, hits.sum() * v.shape[1] + 1, v.shape[1], dtype=np.int32), own[hits].ravel())
-        return pa.table({"v": own, "total": pa.array(total[hits])})
+        return _totals(own, total, hits)
 
     return left.unionAll(right).groupBy(*grid, "x", "y").applyInArrow(one, "v array<double>, total double").groupBy("v").agg(F.sum("total").alias("total"))
 

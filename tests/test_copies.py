@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomgrid import registry
+from fathomgrid.functions import metric as M
 from fathomgrid.operators import knn as K
 from fathomgrid.operators import partition as P
 from fathomgrid.operators import pivots as V
@@ -117,3 +118,30 @@ def test_cover_memory_is_not_the_square_of_the_points():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(rows) <= 5 and set(to) == set(rows) and peak < 300e6
+
+
+@pytest.mark.parametrize("metric", ["l1", "l2", "linf"])
+def test_strips_weigh_as_all_pairs_do(metric):
+    S._linf()
+    g = np.random.default_rng(5)
+    for dim, radius, scale in ((1, 2.0, 1.0), (2, 0.0, 1.0), (2, 2.5, 0.5), (2, 5.0, 0.1), (2, 3.0, 0.37)):
+        for closed in (False, True):
+            own, near = (g.integers(0, 20, (n, dim)) * scale for n in (60, 200))
+            near[:3], own[:2], w = np.nan, np.inf, g.integers(-1, 4, 200).astype(float)
+            with np.errstate(invalid="ignore"):
+                d = M.table(metric, own, near)
+            hit = d <= radius if closed else d < radius
+            for most in (4, 256):
+                total, hits = S._in_strips(own, near, w, radius, metric, closed, most)
+                assert (total == hit.astype(float) @ w).all() and (hits == hit.any(1)).all()
+
+
+def test_ball_counts_compare_few_of_the_pairs_of_different_places(monkeypatch):
+    """ball_range_count: 20,000 places that are all different, in the area of the parts."""
+    compared, gaps = [], S._gaps
+    monkeypatch.setattr(S, "_gaps", lambda metric, a, b: compared.append(len(a)) or gaps(metric, a, b))
+    g = np.random.default_rng(6)
+    v = np.column_stack((g.integers(1, 51, 20_000), g.uniform(900, 1000, 20_000))).astype(float)
+    total, _ = S._in_strips(v, v, np.ones(len(v)), 15.0, "l2", False)
+    some = M.table("l2", v[::500], v) < 15.0
+    assert (total[::500] == some.sum(1)).all() and sum(compared) < 1_000_000 < total.sum() / 10
