@@ -145,3 +145,14 @@ def test_ball_counts_compare_few_of_the_pairs_of_different_places(monkeypatch):
     total, _ = S._in_strips(v, v, np.ones(len(v)), 15.0, "l2", False)
     some = M.table("l2", v[::500], v) < 15.0
     assert (total[::500] == some.sum(1)).all() and sum(compared) < 1_000_000 < total.sum() / 10
+
+
+@pytest.mark.parametrize("closed, radius", [(False, 25.0)])
+def test_cover_step_compares_few_of_the_pairs_of_different_places(monkeypatch, closed, radius):
+    """kcover_step: neither coordinate has few values."""
+    compared, gaps = [], S._gaps
+    monkeypatch.setattr(S, "_gaps", lambda metric, a, b: compared.append(len(a)) or gaps(metric, a, b))
+    v = np.random.default_rng(7).uniform((0, 900), (50, 1000), (10_000, 2))
+    total, _ = S._in_strips(v, v, np.ones(len(v)), radius, "l2", closed)
+    some = M.table("l2", v[::100], v) < radius
+    assert (total[::100] == some.sum(1)).all() and sum(compared) < total.sum() / 10
