@@ -156,3 +156,17 @@ def test_cover_step_compares_few_of_the_pairs_of_different_places(monkeypatch, c
     total, _ = S._in_strips(v, v, np.ones(len(v)), radius, "l2", closed)
     some = M.table("l2", v[::100], v) < radius
     assert (total[::100] == some.sum(1)).all() and sum(compared) < total.sum() / 10
+
+
+def test_weights_that_doubles_do_not_add_exactly_are_weighed_pair_by_pair(spark):
+    """weighted_cover_step: runs of strips only for whole weights, with the same totals."""
+    g = np.random.default_rng(8)
+    v, w = g.uniform(0, 50, (2_000, 2)), g.integers(1, 51, 2_000).astype(float)
+    total, _ = S._in_strips(v, v, w, 20.0, "l2", True)
+    assert (total == (M.table("l2", v, v) <= 20.0).astype(float) @ w).all()
+    assert S._strips_do("l2", 2, 20.0, w) and not S._strips_do("l2", 2, 20.0, w + 0.1) and not S._strips_do("l2", 2, 20.0, w * 2.0**50)
+    assert not S._strips_do("l2", 3, 20.0, w) and not S._strips_do("other", 2, 20.0, w)
+    points = spark.range(40).selectExpr("id", "array(id * 1.0D, 0.0D) as v", "id % 7 + 0.1D as weight")
+    best = S.weighted_cover_step(points, 1.0, 2).first()
+    sums = [sum(j % 7 + 0.1 for j in range(40) if abs(i - j) <= 5) for i in range(40)]
+    assert best["center_id"] in [i for i in range(40) if abs(sums[i] - max(sums)) < 1e-9] and abs(best["weight"] - max(sums)) < 1e-9
