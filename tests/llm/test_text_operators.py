@@ -382,6 +382,37 @@ def test_decontamination(spark):
     assert decontaminate.decontaminate(docs(spark, rows), none).where("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("broadcast_rows", [100_000, 0])
+def test_decontamination_stores_no_row_for_each_document(spark, monkeypatch, broadcast_rows):
+    """Stored tables hold what meets the benchmark, not the texts: each of their files costs processes beside the executor."""
+    item = "One two Déjà four İstanbul six seven eight nine ten eleven"
+    rows = [f"Clean-Text {k}, ΣΑΣ ẞ @[\\]^_`{{|}}~ \x7f K{k} A/Z" for k in range(300)] + [None, "", "...", "Z", item + " tail", "x " + item]
+    stored, store = [], decontaminate.shared_table
+    monkeypatch.setattr(decontaminate, "shared_table", lambda df: stored.append(store(df)) or stored[-1])
+    frame = docs(spark, rows).repartition(16)
+    got = {r["doc_id"]: r for r in decontaminate.decontaminate(frame, spark.createDataFrame([(1, item)], "item_id long, text string"), broadcast_rows=broadcast_rows).collect()}
+    assert [got[k]["n_words"] for k in range(len(rows))] == [len(between(t)) for t in rows]
+    assert [(k, r["n_hit"]) for k, r in sorted(got.items()) if r["contaminated"]] == [(304, 11), (305, 11)]
+    assert len(stored) > 3 and max(t.count() for t in stored) < 30
+
+
+def test_decontamination_stores_a_small_benchmark_in_few_files(spark, monkeypatch):
+    """Also where Spark does not join small partitions."""
+    items = spark.createDataFrame([(i, " ".join(f"w{i * 7 + k}" for k in range(20))) for i in range(60)], "item_id long, text string")
+    files, store = [], decontaminate.shared_table
+    monkeypatch.setattr(decontaminate, "shared_table", lambda df: files.append(len((t := store(df)).inputFiles())) or t)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        out = decontaminate.decontaminate(docs(spark, ["clean text", " ".join(f"w{k}" for k in range(30))]), items).where("contaminated").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert [(r["doc_id"], r["n_hit"], r["items"]) for r in out] == [(1, 30, ["0", "1", "2"])]
+    assert max(files[:4]) <= 8
+
+
 def test_decontamination_plan_is_native(spark):
     plan = decontaminate.decontaminate(docs(spark, ["a b c"]), spark.createDataFrame([(1, "a b c")], "item_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
